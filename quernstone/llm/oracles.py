@@ -66,4 +66,24 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op4_mix_sources": OP4, "op10_exact_dedup": OP10}
+OP5 = r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS place,
+    coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n') || chr(2) AS line FROM t
+), c AS (
+  SELECT *, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place) AS prefix FROM p
+), w AS (
+  SELECT conv_id, CAST(count(*) AS BIGINT) AS n, max_by(prefix, place) AS whole FROM c GROUP BY conv_id
+), f AS (
+  SELECT n, whole, min(conv_id) AS conv_id, count(*) AS snapshots FROM w GROUP BY n, whole
+), k AS (
+  SELECT * FROM f WHERE NOT EXISTS (SELECT 1 FROM c JOIN w USING (conv_id) WHERE c.place + 1 = f.n AND c.place + 1 < w.n AND c.prefix = f.whole)
+)
+SELECT conv_id, CAST(place // 256 AS BIGINT) AS part, any_value(k.n) AS n_turns, any_value(k.snapshots) AS snapshots,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+FROM p JOIN k USING (conv_id) GROUP BY conv_id, place // 256
+"""
+
+ORACLES = {"op5_chat_format": OP5, "op3_decontaminate": OP3, "op4_mix_sources": OP4, "op10_exact_dedup": OP10}

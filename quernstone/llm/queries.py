@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import decontaminate, exact_dedup, mixing, near_dedup, quality, toxicity
+from quernstone.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, mixing, near_dedup, quality, token_counts, toxicity
 from quernstone.llm.common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
@@ -28,6 +36,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.classify(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -37,6 +49,10 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(documents, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -48,10 +64,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_decontaminate": op3_decontaminate,
-    "op4_mix_sources": op4_mix_sources,
-    "op6_toxicity": op6_toxicity,
-    "op7_near_dedup": op7_near_dedup,
-    "op9_quality": op9_quality,
-    "op10_exact_dedup": op10_exact_dedup,
+    f.__name__: f
+    for f in (op1_line_dedup, op2_license_scan, op3_decontaminate, op4_mix_sources, op5_chat_format, op6_toxicity, op7_near_dedup, op8_token_counts, op9_quality, op10_exact_dedup)
 }
