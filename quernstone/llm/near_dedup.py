@@ -62,9 +62,9 @@ class Shingler:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = set(tokens) - known.keys()
-        for w in new:
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(tokens):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array([known[w] for w in tokens], np.uint64)
         width = min(self.width, len(h))
         n = len(h) - width + 1
