@@ -4,9 +4,11 @@ Documents of equal shingle sets count as one. Bands of MinHash values pick candi
 are compared one after another, and the pair is pruned as soon as the posterior probability that its similarity reaches the
 threshold falls below MISS. Survivors are verified on full shingle sets.
 
-A bucket never emits all its pairs at once. In each round a document proposes a few partners from other components that share
-a bucket with it; verified links merge components, and buckets that lie in one component drop out. Only pairs that are then
-still in different components are tested one by one, so no link between candidates is lost.
+A bucket never emits its pairs. In each round a document proposes one partner from another component that shares a bucket
+with it; verified links merge components, and buckets that lie in one component drop out. Documents that still share a bucket
+with another component form residual clusters. These are dealt in blocks of bounded size, each block meets each other block of
+its cluster in one task, and only links come out: pairs within a component are skipped, all others are pruned and verified, so
+no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pickle
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -31,8 +34,8 @@ ROWS, BANDS = 7, 40
 HASHES = ROWS * BANDS
 #: Signature values of one batch, and the chosen probability of missing a pair by pruning.
 STEP, MISS = 32, 1e-5
-#: Rounds of proposals before remaining pairs are tested one by one.
-ROUNDS = 4
+#: Rounds of proposals before the residual clusters, and documents of a block of these.
+ROUNDS, BLOCK = 2, 1000
 #: Up to this number of ids (8 bytes each) a list of ids is broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 1 << 20
@@ -200,37 +203,93 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
         return rows.join(split, "key", "left_semi")
 
     tested, links, found = None, None, None
-    for k in range(ROUNDS + 1):
+    for k in range(ROUNDS):
         rows = unresolved(found)
         if k == 0:
             proposed = rows.where("first <> id").groupBy("id").agg(F.min("first").alias("mate"))
-        elif k < ROUNDS:
+        else:
             w = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(k)), "id")
             around = F.struct("id", "component")
             near = rows.select("id", "component", F.lag(around).over(w).alias("_x"), F.first(around).over(w).alias("_y"))
             near = near.select("id", "component", F.explode(F.array("_x", "_y")).alias("other"))
             near = near.where("other.id IS NOT NULL AND other.component <> component").select("id", F.col("other.id").alias("mate"))
-            near = near.join(tested.select(F.col("a").alias("id"), F.col("b").alias("mate")).unionByName(tested.select(F.col("b").alias("id"), F.col("a").alias("mate"))), ["id", "mate"], "left_anti")
+            both_ways = tested.select(F.col("a").alias("id"), F.col("b").alias("mate")).unionByName(tested.select(F.col("b").alias("id"), F.col("a").alias("mate")))
+            near = near.join(both_ways, ["id", "mate"], "left_anti")
             proposed = near.groupBy("id").agg(F.min_by("mate", F.xxhash64("id", "mate", F.lit(k))).alias("mate"))
-        else:
-            other = rows.select("key", F.col("id").alias("mate"), F.col("component").alias("_c"))
-            proposed = rows.join(other, "key").where("id < mate AND component <> _c").select("id", "mate")
-        pairs = ordered(proposed).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if k == 0 or k >= ROUNDS:
-                break
-            continue
+        pairs = written(ordered(proposed).distinct(), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         new = written(_verified(pairs, sketches, sets, percent), "verified")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = written(connected(links), "components")
+    rows = written(unresolved(found).select("key", "id", "component"), "unresolved")
+    if rows.limit(1).count():
+        new = written(_residual(rows, sketches, sets, percent), "residual")
+        if new.limit(1).count():
+            links = new if links is None else links.unionByName(new)
+            found = written(connected(links), "components")
     return found if found is not None else spark.createDataFrame([], "node long, component long")
 
 
+def _residual(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between components of rows(key, id, component) that share a bucket, directly or over others."""
+    firsts = rows.groupBy("key").agg(F.min("id").alias("b"))
+    clusters = connected(rows.join(firsts, "key").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    members = written(rows.select("id", "component").distinct().join(clusters, "id"), "members")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    packs = max(1, members.count() // BLOCK)
+    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(sketches, "id").join(sets, "id").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Clusters of one block share tasks; of larger ones each pair of blocks is a group.
+    one = F.col("blocks") == 1
+    group = F.struct(
+        F.when(one, F.lit(None)).otherwise(F.col("cluster")).alias("cluster"),
+        F.when(one, F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int")).otherwise(F.least("block", "_with")).alias("x"),
+        F.when(one, F.lit(-1)).otherwise(F.greatest("block", "_with")).alias("y"),
+    )
+    needed = least_matches(percent)
+
+    def links(pdf):
+        pdf = pdf.sort_values(["cluster", "id"]).reset_index(drop=True)
+        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
+        cluster = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)[1]
+        component = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, HASHES)
+        shingles = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+        size = np.array([len(x) for x in shingles])
+        two = len(set(block.tolist())) > 1 and (cluster == cluster[0]).all()
+        root = list(range(int(component.max()) + 1))
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        out, ends = [], np.searchsorted(cluster, cluster, "right")
+        for i in range(len(ids)):
+            js = np.arange(i + 1, ends[i])
+            js = js[component[js] != component[i]]
+            if two:
+                js = js[block[js] != block[i]]
+            js = js[np.minimum(size[js], size[i]) * 100 >= percent * np.maximum(size[js], size[i])]
+            matches, at = np.zeros(len(js), np.int64), 0
+            for n, least in needed:
+                matches = matches + (sketch[js, at:n] == sketch[i, at:n]).sum(axis=1)
+                alive = matches >= least
+                js, matches, at = js[alive], matches[alive], n
+            for j in js.tolist():
+                if find(component[i]) == find(component[j]):
+                    continue
+                both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    root[find(component[i])] = find(component[j])
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return dealt.withColumn("_group", group).select("_group", "id", "component", "cluster", "block", "sketch", "shingles").groupBy("_group").applyInPandas(links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id (the smallest id reachable over links), kept.
 
