@@ -145,7 +145,6 @@ def estimate(votes: DataFrame, m: int, labelled: tuple[np.ndarray, np.ndarray])
     base = np.array([[1.0], [1.0]])
     hits = np.stack([v[y == k].sum(axis=0) for k in (0, 1)]) if len(y) else np.zeros((2, m))
     size = np.array([(y == k).sum() for k in (0, 1)], float)
-    known = set(names)
     general = np.array([0.002, 0.05])[:, None]
     rates = (hits + 10 * general) / (size[:, None] + 10 * base)
     model = LabelModel((size[1] + 1) / (size.sum() + 10), rates, np.ones(m))
