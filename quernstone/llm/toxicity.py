@@ -210,6 +210,16 @@ def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float
     return w, float(b)
 
 
+def best_cut(raw: np.ndarray, truth: np.ndarray) -> float:
+    """The middle of the gap between raw scores where rows above it agree best with truth, by F1."""
+    order = np.argsort(-raw, kind="stable")
+    raw, hits = raw[order], np.cumsum(truth[order] > 0)
+    f1 = 2 * hits / (np.arange(1, len(raw) + 1) + hits[-1])
+    last = np.append(raw[1:] != raw[:-1], True)  # equal scores fall on one side
+    k = int(np.where(last, f1, -1).argmax())
+    return float((raw[k] + raw[k + 1]) / 2) if k + 1 < len(raw) else float(raw[k] - 1)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.3).
 
@@ -252,6 +262,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     posterior = model.posterior(own)
     if posterior.max(initial=0) > 0.5:
         weights, bias = fit_linear(x, posterior)
+        truth = np.array([y for _, y, _, _ in got])
+        bias += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(x @ weights + bias, truth if truth.any() else posterior > 0.5)
     else:
         weights, bias = np.full(len(terms), 3.0), -3.0
     return score(docs, LinearClassifier(table, weights, bias), id_col, text_col, MODULUS, HELD_OUT, THRESHOLD)
