@@ -81,7 +81,7 @@ def build_specs(plans: DataFrame) -> DataFrame:
     met = parsed.join(named, "query_id").join(scanned.withColumnRenamed("codes", "_scanned"), "query_id")
     number = lambda c: F.col(f"p.{c}").try_cast("double")
     none = F.array().cast("array<string>")
-    texts = lambda c: F.filter(F.transform(F.coalesce(c, none), F.trim), lambda x: x != "")
+    texts = lambda c: F.filter(F.transform(F.coalesce(c, none), lambda x: F.trim(x)), lambda x: x != "")
     complexity = F.upper("p.complexity")
     rescued = F.size("_named") == 0
     weighted = F.transform(F.filter("p.criteria", lambda c: c["weight"].isNull() | c["weight"].try_cast("double").isNotNull()), lambda c: F.struct(F.coalesce(F.nullif(F.trim(c["name"]), F.lit("")), F.lit("criterion")).alias("name"), F.coalesce(c["weight"].try_cast("double"), F.lit(1.0)).alias("weight"), F.coalesce(c["must_have"], F.lit(False)).alias("must_have"), F.trim(c["description"]).alias("description")))
