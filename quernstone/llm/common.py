@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.functions.windows import running_sum
+from quernstone.plans.scratch import scratch_dir, written
+
 #: A key is hot when it has more than 1/HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1000
 
-_scratch: dict[str, str] = {}
+__all__ = ["HOT_SHARE", "join_counted", "running_sum", "scratch_dir", "table", "word_count", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A folder of this application under the shared ``spark.checkpoint.dir``; removed when the driver ends.
-
-    Only a session that names no checkpoint folder and runs in one process (tests) gets a temporary one.
-    """
-    sc = spark.sparkContext
-    if sc.applicationId not in _scratch:
-        base = sc.getConf().get("spark.checkpoint.dir")
-        if not base:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="quernstone-")
-        path = f"{base.rstrip('/')}/quernstone-{sc.applicationId}"
-        _scratch[sc.applicationId] = path
-
-        def remove() -> None:
-            try:
-                jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
-                jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
-            except Exception:  # noqa: BLE001  the session may be gone already
-                pass
-
-        atexit.register(remove)
-    return _scratch[sc.applicationId]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, and a lost executor costs no recomputation beyond it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in text; null has none."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -62,25 +26,6 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exclusive running sum of value within keys, ordered by (bucket, *order), in two levels.
-
-    bucket must not decrease along the order. Sums of the buckets are accumulated first (one row per bucket), then rows
-    within a bucket; no task holds all rows of a key, however large it is.
-    """
-    keys = list(keys)
-    totals = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_bucket_sum"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("_bucket_sum").over(before), F.lit(0)).alias("_offset"))
-    inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        df.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .join(offsets, [*keys, bucket])
-        .withColumn(out, F.col("_offset") + F.col("_inner"))
-        .drop("_offset", "_inner")
-    )
-
-
 def join_counted(rows: DataFrame, entries: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
     """Joins rows with entries (unique by key, count = how many rows have the key) without a hot partition.
 
