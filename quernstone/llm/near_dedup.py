@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = narrow.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = written(groups, "groups")
     # By digest and id together: a hot group's rows differ in their ids.
-    reps = base.join(groups.select("digest", F.col("rep").alias("id")), ["digest", "id"]).select("id", "bands", "sketch")
+    reps = base.join(groups.select("digest", F.col("rep").alias("id")), ["digest", "id"]).dropDuplicates(["digest", "id"]).select("id", "bands", "sketch")
     found = _links(docs, reps, id_col, text_col, width, percent)
     known = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), "copies")
     out = join_counted(narrow, known, "digest", "copies", base.count())
