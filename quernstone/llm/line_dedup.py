@@ -9,6 +9,7 @@ smallest id and is dropped everywhere else. Exact copies of a text fare alike, s
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ COMBINED_LINES = 200_000
 #: Up to this number of documents the lists of dropped lines are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 200_000
 CACHE_WORDS = 1 << 20
-VARIABLE = re.compile(rb"\S*\d\S*")
+VARIABLE, DIGIT = re.compile(rb"\S*\d\S*"), re.compile(rb"\d")
 NO_ID = np.iinfo(np.int64).max
 
 _LINES = "leaf long, key binary, id long, hash long, low long, high long, n long, tokens binary"
@@ -38,8 +39,10 @@ def signed(x: int) -> int:
 
 def parsed(text: bytes):
     """Position, key, tokens of the lines that can follow a template."""
-    for pos, line in enumerate(VARIABLE.sub(b"<*>", text).split(b"\n")):
-        tokens = line.split()
+    digits = DIGIT.search(text) is not None
+    for pos, line in enumerate(text.split(b"\n")):
+        # Looking for variable fields is slow, and few lines have any.
+        tokens = (VARIABLE.sub(b"<*>", line) if digits and DIGIT.search(line) else line).split()
         if len(tokens) >= LEAST_TOKENS:
             yield pos, xxhash.xxh3_128_digest(b" ".join(tokens)), tokens
 
@@ -76,11 +79,13 @@ def _distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         continue
                     if len(known) > CACHE_WORDS:
                         known.clear()
-                    for w in tokens:
-                        if w not in known:
-                            known[w] = xxhash.xxh32_intdigest(w) & 0xFFFF
+                    try:
+                        numbers = [known[w] for w in tokens]
+                    except KeyError:
+                        known.update((w, xxhash.xxh32_intdigest(w) & 0xFFFF) for w in tokens if w not in known)
+                        numbers = [known[w] for w in tokens]
                     leaf = signed(xxhash.xxh3_64_intdigest(b" ".join(tokens[:LEAD]), len(tokens)))
-                    seen[key] = [leaf, i, h, h, h, 1, np.array([known[w] for w in tokens], np.uint16).tobytes()]
+                    seen[key] = [leaf, i, h, h, h, 1, array("H", numbers).tobytes()]
                 if len(seen) >= COMBINED_LINES:
                     yield flush()
         if seen:
