@@ -85,23 +85,32 @@ class Terms:
         return found
 
 
-def mine(rows: list[tuple[int, set[bytes]]]) -> tuple[list[bytes], list[bytes]]:
-    """Voters' terms and the classifier's terms."""
-    by = (Counter(), Counter())
+def mine(rows: list[tuple[int, bytes]]) -> tuple[list[bytes], list[bytes]]:
+    """Voters' terms and the classifier's terms, from labels and distinct words (joined by spaces).
+
+    Only terms of toxic rows can mark them; those are counted first, and clean rows then count what is left of them.
+    """
     n = [sum(1 for y, _ in rows if y == k) for k in (0, 1)]
+    by = (Counter(), Counter())
+    for y, tokens in rows:
+        if y:
+            by[1].update(parts(set(tokens.split())))
+    least = next((b for b in range(1, n[1] + 1) if likelihood_ratio(0, b, *n) >= LEAST_G2), n[1] + 1)
+    by = (by[0], Counter({t: k for t, k in by[1].items() if k >= least}))
     for y, tokens in rows:
-        by[y].update(parts(tokens))
-    names = sorted(by[1].keys() | by[0].keys())
+        if not y:
+            by[0].update(parts(set(tokens.split())) & by[1].keys())
+    names = sorted(by[1])
     g = likelihood_ratio([by[0][t] for t in names], [by[1][t] for t in names], *n) if names else np.zeros(0)
-    order = sorted(np.flatnonzero(np.abs(g) >= LEAST_G2), key=lambda k: (-abs(g[k]), names[k]))
+    order = sorted(np.flatnonzero(g >= LEAST_G2), key=lambda k: (-g[k], names[k]))
     strong = [names[k] for k in order[:MAX_TERMS]]
     # Voters cover every toxic row they can: each step takes the term that marks most rows which fewer than COVER voters
     # mark, so that a language with few toxic rows gets voters of its own.
     precise = lambda t: by[1][t] >= PRECISE * (by[0][t] + by[1][t])
-    marked: dict[bytes, list[int]] = {names[k]: [] for k in order if g[k] > 0 and precise(names[k])}
+    marked: dict[bytes, list[int]] = {names[k]: [] for k in order if precise(names[k])}
     toxic = [tokens for y, tokens in rows if y]
     for i, tokens in enumerate(toxic):
-        for t in parts(tokens) & marked.keys():
+        for t in parts(set(tokens.split())) & marked.keys():
             marked[t].append(i)
     need, voters = np.full(len(toxic), COVER), []
     while marked and len(voters) < MAX_VOTERS - N_PATTERNS - len(LEXICON):
@@ -113,9 +122,9 @@ def mine(rows: list[tuple[int, set[bytes]]]) -> tuple[list[bytes], list[bytes]]:
         voters.append(best)
         # Terms that mark nearly the same rows would only repeat its votes.
         marked = {t: r for t, r in marked.items() if len(own.intersection(r)) < 0.9 * len(own.union(r))}
-    known = set(names)
+    seen = {w for _, tokens in rows for w in set(tokens.split()) & set(map(str.encode, LEXICON))}
     general = [w.encode() for w in LEXICON if w.encode() not in voters]
-    return voters + general, list(dict.fromkeys([*strong, *[w for w in general if w in known]]))
+    return voters + general, list(dict.fromkeys([*strong, *[w for w in general if w in seen]]))
 
 
 @dataclass
@@ -233,12 +242,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             texts = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(1), pa.array([sorted(set(words(t))) for t in texts], pa.list_(pa.binary())), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))],
+                [batch.column(0).cast(pa.string()), batch.column(1), pa.array([b" ".join(sorted(set(words(t)))) for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))],
                 ["id", "y", "tokens", "patterns"],
             )
 
-    got = sample.mapInArrow(extract, "id string, y int, tokens array<binary>, patterns array<boolean>").collect()
-    got = sorted(((r[0], int(r[1] > 0), {bytes(w) for w in r[2]}, r[3]) for r in got), key=lambda r: r[:2])
+    got = sample.mapInArrow(extract, "id string, y int, tokens binary, patterns array<boolean>").collect()
+    got = sorted(((r[0], int(r[1] > 0), bytes(r[2]), r[3]) for r in got), key=lambda r: r[:2])
     voters, terms = mine([(y, tokens) for _, y, tokens, _ in got])
     lookup, m = Terms(voters), len(voters) + N_PATTERNS
 
@@ -250,7 +259,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([mask(set(words(t)), patterns(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["mask"])
 
     votes = written(docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(vote, "mask long"), "votes")
-    own = unpacked(np.array([mask(tokens, fired) for _, _, tokens, fired in got], np.int64), m) if got else np.zeros((0, m))
+    own = unpacked(np.array([mask(set(tokens.split()), fired) for _, _, tokens, fired in got], np.int64), m) if got else np.zeros((0, m))
     model = estimate(votes, m, (own, np.array([y for _, y, _, _ in got])))
 
     if not terms:
@@ -258,7 +267,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     table = Terms(terms)
     x = np.zeros((len(got), len(terms)))
     for i, (_, _, tokens, _) in enumerate(got):
-        x[i, list(table.of(tokens))] = 1
+        x[i, list(table.of(set(tokens.split())))] = 1
     posterior = model.posterior(own)
     if posterior.max(initial=0) > 0.5:
         weights, bias = fit_linear(x, posterior)
