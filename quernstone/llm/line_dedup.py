@@ -24,8 +24,8 @@ from quernstone.llm.common import join_counted, written
 LEAD, LEAST_TOKENS, SIMILAR = 3, 6, 0.8
 #: Distinct lines that a task combines before it sends them on.
 COMBINED_LINES = 200_000
-#: Up to this number of documents the lists of dropped lines are broadcast; more are joined by a shuffle.
-BROADCAST_DOCS = 200_000
+#: Up to these numbers of documents and of lines the lists of dropped lines are broadcast; more are joined by a shuffle.
+BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
 CACHE_WORDS = 1 << 20
 VARIABLE, DIGIT = re.compile(rb"\S*\d\S*"), re.compile(rb"\d")
 NO_ID = np.iinfo(np.int64).max
@@ -205,7 +205,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = found.agg(F.sum("n")).first()[0] or 0
     hits = join_counted(_line_keys(docs, id_col, text_col), found.drop("template"), "key", "n", int(total), "inner").where(F.col("hash") != F.col("keep_hash"))
     dropped = written(hits.groupBy("id", "hash").agg(F.array_sort(F.collect_set("pos")).alias("_dropped")), "dropped")
-    side = F.broadcast(dropped) if dropped.count() <= BROADCAST_DOCS else dropped
+    n_docs, n_lines = dropped.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_dropped")), F.lit(0))).first()
+    side = F.broadcast(dropped) if n_docs <= BROADCAST_DOCS and n_lines <= BROADCAST_LINES else dropped
 
     with_hash = T.StructType([*docs.schema.fields, T.StructField("_hash", T.LongType())])
 
