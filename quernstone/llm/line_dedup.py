@@ -2,12 +2,14 @@
 
 A line's leaf is given by its number of tokens and its LEAD leading tokens; tokens that hold a digit are variable fields from
 the start. In a leaf, a line joins the template that it equals in at least SIMILAR of its positions, and positions where they
-differ become variable. A template recurs if lines of at least two different texts follow it: it stays in the text of its
+differ become variable. In a line of fewer than LEAST_VARIED tokens no position may vary: all its tokens, digits too, are its
+leaf and its template. A template recurs if lines of at least two different texts follow it: it stays in the text of its
 smallest id and is dropped everywhere else. Exact copies of a text fare alike, so copies stay copies.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 
@@ -20,8 +22,10 @@ from pyspark.sql import types as T
 
 from quernstone.llm.common import join_counted, written
 
-#: Leading tokens of a leaf, tokens that a line needs to be a template's, share of equal positions.
-LEAD, LEAST_TOKENS, SIMILAR = 3, 6, 0.8
+#: Leading tokens of a leaf, share of equal positions.
+LEAD, SIMILAR = 3, 0.8
+#: Tokens from which on a position may differ, so that 1 - SIMILAR of them is one at least.
+LEAST_VARIED = math.ceil(1 / (1 - SIMILAR) - 1e-9)
 #: Distinct lines that a task combines before it sends them on.
 COMBINED_LINES = 200_000
 #: Up to these numbers of documents and of lines the lists of dropped lines are broadcast; more are joined by a shuffle.
@@ -38,12 +42,14 @@ def signed(x: int) -> int:
 
 
 def parsed(text: bytes):
-    """Position, key, tokens of the lines that can follow a template."""
+    """Position, key, tokens of the lines that have a token."""
     digits = DIGIT.search(text) is not None
     for pos, line in enumerate(text.split(b"\n")):
+        tokens = line.split()
         # Looking for variable fields is slow, and few lines have any.
-        tokens = (VARIABLE.sub(b"<*>", line) if digits and DIGIT.search(line) else line).split()
-        if len(tokens) >= LEAST_TOKENS:
+        if digits and len(tokens) >= LEAST_VARIED and DIGIT.search(line):
+            tokens = VARIABLE.sub(b"<*>", line).split()
+        if tokens:
             yield pos, xxhash.xxh3_128_digest(b" ".join(tokens)), tokens
 
 
@@ -84,7 +90,7 @@ def _distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     except KeyError:
                         known.update((w, xxhash.xxh32_intdigest(w) & 0xFFFF) for w in tokens if w not in known)
                         numbers = [known[w] for w in tokens]
-                    leaf = signed(xxhash.xxh3_64_intdigest(b" ".join(tokens[:LEAD]), len(tokens)))
+                    leaf = signed(xxhash.xxh3_64_intdigest(b" ".join(tokens[:LEAD] if len(tokens) >= LEAST_VARIED else tokens), len(tokens)))
                     seen[key] = [leaf, i, h, h, h, 1, array("H", numbers).tobytes()]
                 if len(seen) >= COMBINED_LINES:
                     yield flush()
@@ -195,7 +201,7 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col stripped of recurring lines, n_lines and n_dropped (long) added (such columns are replaced).
 
-    Every row stays; a text may become empty. Lines end at a line feed; lines of fewer than LEAST_TOKENS tokens always stay.
+    Every row stays; a text may become empty. Lines end at a line feed; lines without a token always stay.
     A null text stays null and has no lines; an empty text has one. A null id is larger than any other. Rows of equal id and
     text fare alike. n_chars, if there, follows the text.
     """

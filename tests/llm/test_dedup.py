@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quernstone.llm import exact_dedup, line_dedup, near_dedup
@@ -198,3 +199,30 @@ def test_variable_fields_are_generalised(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
     assert [r.n_dropped for r in got] == [0, 1, 1, 1, 1]
     assert got[2].text.startswith("kept")
+
+
+def own_lines(t):
+    """Position, key, tokens by the rules as stated, without the operator's splitting."""
+    for pos, line in enumerate(t.decode().split("\n")):
+        tokens = re.findall(r"[^\x20\x09-\x0D]+", line)
+        if len(tokens) >= 5:
+            tokens = ["<*>" if re.search("[0-9]", x) else x for x in tokens]
+        if tokens:
+            yield pos, xxhash.xxh3_128_digest(" ".join(tokens).encode()), tokens
+
+
+def test_line_dedup_of_short_lines_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    short = [text(rng, n) for n in (1, 1, 2, 3, 4, 4, 5, 5, 5)] + ["All rights reserved.", "版权所有。", "Version 2", "Version 3", "12"]
+    rows = []
+    for i in range(80):
+        lines = [rng.choice(short) if rng.random() < 0.3 else text(rng, rng.randint(1, 9)) for _ in range(5)]
+        lines[rng.randrange(5)] += rng.choice(["", "  ", "\t", "\n", "\n \t"])
+        rows.append((i, "\n".join(lines)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    monkeypatch.setattr(line_dedup, "parsed", own_lines)
+    assert got == lines_brute(rows)
+    for line in ("All rights reserved.", "版权所有。", "Version 2", "Version 3", "12"):
+        assert sum(line in [x.strip() for x in t.split("\n")] for _, t in rows) > 1
+        assert sum(line in [x.strip() for x in t.split("\n")] for t in got.values()) == 1
