@@ -2,12 +2,13 @@
 
 Slot i of the mix has the point frac(i * golden ratio), in 32-bit integers; cumulative shares of the targets turn points into
 sources. A source's documents lie shuffled, end to end, on a line of words that is cut into blocks of equal length; the k-th
-slot of a source takes its k-th block. The line is walked at most REPEATS times.
+slot of a source takes its k-th block. The line is walked at most REPEATS times. Sources whose targets come to few blocks
+have finer ones, and schedules of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import running_sum, word_count, written
@@ -20,6 +21,8 @@ TOTAL = 1.5
 REPEATS = 2
 #: Slots that a mix has at least (as far as it has words), and words of a block at most.
 SLOTS, BLOCK_WORDS = 1 << 17, 4096
+#: Blocks that a source's target comes to at least; below, its blocks are finer by FINER, down to one word.
+SOURCE_BLOCKS, FINER = 512, 16
 #: 2**32 divided by the golden ratio.
 GOLDEN = 2654435769
 #: Sources up to this number are broadcast to the documents; more are joined by a shuffle.
@@ -47,12 +50,15 @@ def source_targets(sizes: DataFrame, source_col: str = "source", weights: tuple[
     return sources.select(source_col, "source_no", "source_size", F.coalesce(F.least("_cap", F.col("_share") * F.col("_w")), F.lit(0.0)).alias("target"))
 
 
-def schedule(sources: DataFrame, slots: int) -> DataFrame:
-    """slot, source_no, block: the source of each slot and the slot's rank within its source."""
+def schedule(sources: DataFrame, slots: int, wanted: Column | None = None) -> DataFrame:
+    """slot, source_no, block: the source of each slot and the slot's rank within its source. Slots of sources that are not
+    wanted are left out."""
     by_no = Window.orderBy("source_no")
     whole = F.floor("target")
     shares = sources.withColumn("_to", F.sum(whole).over(by_no)).withColumn("_from", F.col("_to") - whole).withColumn("_sum", F.sum(whole).over(Window.partitionBy()))
     point = lambda c: F.floor(F.col(c) / F.col("_sum") * F.lit(4294967296.0)).cast("long")
+    if wanted is not None:
+        shares = shares.where(wanted)  # after the sums
     shares = shares.where("_sum > 0").select("source_no", point("_from").alias("_lo"), point("_to").alias("_hi")).where("_hi > _lo")
     # A point meets its source by the upper 12 bits first: an equi-join with at most 4,096 rows more than there are sources.
     shares = shares.withColumn("_cell", F.explode(F.sequence(F.shiftright("_lo", 20), F.shiftright(F.col("_hi") - 1, 20))))
@@ -62,6 +68,26 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return running_sum(met, ["source_no"], "_chunk", ["slot"], "_one", "block").select("slot", "source_no", "block")
 
 
+def in_blocks(sources: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """sources with _block, the words of a block of theirs, and all slots: source_no, block.
+
+    The mix has blocks of one length, which grows with its words. A source of fewer than SOURCE_BLOCKS of them goes to the
+    first finer length that gives it as many, or to one word; the sources of a finer length share a schedule, whose slots
+    number at most FINER * SOURCE_BLOCKS a source.
+    """
+    lengths = [max(1, min(BLOCK_WORDS, words // SLOTS))]
+    while lengths[-1] > 1:
+        lengths.append(max(1, lengths[-1] // FINER))
+    enough = [F.when(F.col("target") >= SOURCE_BLOCKS * n, n) for n in lengths[:-1]]
+    sources = written(sources.withColumn("_block", F.coalesce(*enough, F.lit(lengths[-1]))), "sources")
+    parts = dict(sources.groupBy("_block").agg(F.sum(F.floor("target"))).collect())
+    slots = schedule(sources, -(-words // lengths[0]), F.col("_block") == lengths[0])
+    for n in lengths[1:]:
+        if n in parts:
+            slots = slots.unionByName(schedule(sources.where(F.col("_block") == n), -(-int(parts[n]) // n)))
+    return sources, slots.select("source_no", "block")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken (words, repeats counted).
 
@@ -71,8 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = written(docs.select(id_col, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size")), "sizes")
     sources = written(source_targets(sizes, "_source", weights, total, repeats), "sources")
     words, n_sources = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count(F.lit(1))).first()
-    block = max(1, min(BLOCK_WORDS, int(words) // SLOTS))
-    slots = schedule(sources, -(-int(words) // block))
+    sources, slots = in_blocks(sources, int(words))
 
     side = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
     known = sizes.join(side.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_source")
@@ -81,10 +106,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lines = running_sum(shuffled, ["source_no"], "_bucket", ["_order", id_col, "size"], "size", "_start")
     pieces = lines.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     pieces = pieces.withColumn("_a", F.col("_start") + F.col("_turn") * F.col("source_size")).withColumn("_b", F.col("_a") + F.col("size"))
-    at = lambda c: F.floor(c / F.lit(block)).cast("long")
+    at = lambda c: F.floor(c / F.col("_block")).cast("long")
     pieces = pieces.withColumn("block", F.explode(F.sequence(at(F.col("_a")), at(F.col("_b") - 1))))
-    length = F.least(F.col("_b"), (F.col("block") + 1) * block) - F.greatest(F.col("_a"), F.col("block") * block)
-    met = pieces.withColumn("_len", length).join(slots.select("source_no", "block", F.lit(1).alias("_met")), ["source_no", "block"], "left")
+    length = F.least(F.col("_b"), (F.col("block") + 1) * F.col("_block")) - F.greatest(F.col("_a"), F.col("block") * F.col("_block"))
+    met = pieces.withColumn("_len", length).join(slots.withColumn("_met", F.lit(1)), ["source_no", "block"], "left")
     taken = met.groupBy("source_no", "_start", id_col, "size", "source_size", "target").agg(F.sum(F.when(F.col("_met") == 1, F.col("_len")).otherwise(0)).alias("taken"))
     columns = [id_col, "size", "source_size", "target", "taken"]
     empty = known.where("size = 0").withColumn("taken", F.lit(0).cast("long"))

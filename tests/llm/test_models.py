@@ -122,6 +122,23 @@ def test_mix_meets_targets(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 
+def test_small_sources_meet_their_targets_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    rng = random.Random(8)
+    sizes = {f"big{k}": 60000 for k in range(3)} | {f"small{k}": rng.choice([3, 40, 150, 700, 2500]) for k in range(30)}
+    rows = [(k * 1000 + d, "w " * (n // 10 if d else n - n // 10 * 9), s) for k, (s, n) in enumerate(sizes.items()) for d in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, of = waterfill(sizes), {i: s for i, _, s in rows}
+    taken = dict.fromkeys(sizes, 0)
+    for r in mixing.mix(docs).collect():
+        assert 0 <= r.taken <= 2 * r["size"]
+        taken[of[r.doc_id]] += r.taken
+    small = [s for s in sizes if s.startswith("small")]
+    assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 4 for s in small)
+    assert abs(sum(taken[s] - want[s] for s in small)) <= 0.01 * sum(want[s] for s in small)
+    assert all(abs(taken[s] - want[s]) <= 0.1 * want[s] for s in sizes if s not in small)
+
+
 def test_schedule_is_low_discrepancy(spark):
     sources = spark.createDataFrame([("a", 0, 500, 500.0), ("b", 1, 300, 300.0), ("c", 2, 200, 200.0)], "source string, source_no int, source_size long, target double")
     rows = mixing.schedule(sources, 1000).orderBy("slot").collect()
