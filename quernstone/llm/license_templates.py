@@ -1,6 +1,7 @@
 """Texts of public licences and licence notices (fixed values)."""
 
 TEMPLATES = {
+    "all-rights-reserved": "All rights reserved.",
     "mit-notice": "Released under the MIT License.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",

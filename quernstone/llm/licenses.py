@@ -1,11 +1,13 @@
 """License scan: winnowed fingerprints of templates in an inverted index pick candidates, banded alignment measures them.
 
-A shared run of GRAM + WINDOW - 1 words always shares a fingerprint. Fingerprints of a document that the index knows give
+A shared run of GRAM + WINDOW - 1 words always shares a fingerprint. Notices of up to NOTICE words have edits too close together
+for that: each has as many anchors, single words, as a match may miss, and one more, so every match has one. Fingerprints of a document that the index knows give
 places of templates; places that agree within the band are one candidate, which is aligned word by word inside the band.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from typing import NamedTuple
 
@@ -18,6 +20,8 @@ from quernstone.llm.license_templates import TEMPLATES
 from quernstone.llm.words import ALNUM_WORD, words
 
 GRAM, WINDOW = 3, 3
+#: Words of the longest template that is found by single words.
+NOTICE = 15
 #: Least share of a template's words that a match covers; width of the band on either side, as a share of the template.
 COVERAGE, SLACK, LEAST_BAND = 0.8, 0.25, 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -52,32 +56,42 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Inverted index of the templates' fingerprints, and their words as numbers (0: no template has the word)."""
+    """Inverted index of the templates' fingerprints, anchors of notices, and words as numbers (0: no template has the word)."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES) -> None:
         self.names, self.ids, self.vocabulary = list(templates), [], {}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, text in enumerate(templates.values()):
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text.encode())], np.int64)
+            tokens = words(text.encode())
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens], np.int64)
             self.ids.append(ids)
+            if len(ids) <= NOTICE:
+                missed = len(ids) - math.ceil(COVERAGE * len(ids) - 1e-9)
+                # Long words are rarer; which are taken decides on speed only.
+                for q in sorted(range(len(ids)), key=lambda q: -len(tokens[q]))[: missed + 1]:
+                    self.anchors[int(ids[q])].append((t, q))
+                continue
             hashes = gram_hashes(ids)
             for p in winnowed(hashes).tolist():
                 self.postings[int(hashes[p])].append((t, p))
         self.known = np.array(sorted(self.postings), np.uint64)
+        self.anchoring = np.isin(np.arange(len(self.vocabulary) + 1), list(self.anchors))
 
     def scan(self, tokens: list[bytes]) -> list[Match]:
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in tokens], np.int64)
-        if not len(self.known) or not ids.any():
+        if not ids.any():
             return []
-        hashes = gram_hashes(ids)
-        at = winnowed(hashes)
-        at = at[self.known[np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)] == hashes[at]]
         places: dict[int, list[int]] = defaultdict(list)
-        for p in at.tolist():
-            for t, q in self.postings[int(hashes[p])]:
-                places[t].append(p - q)
-        found = []
+        if len(self.known):
+            hashes = gram_hashes(ids)
+            at = winnowed(hashes)
+            at = at[self.known[np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)] == hashes[at]]
+            for p in at.tolist():
+                for t, q in self.postings[int(hashes[p])]:
+                    places[t].append(p - q)
+        found = self.notices(ids)
         for t, offsets in places.items():
             template = self.ids[t]
             band = max(LEAST_BAND, int(SLACK * len(template)))
@@ -93,6 +107,27 @@ class Index:
                     found.append(Match(self.names[t], matched, matched / len(template), lo + start, lo + end))
         return best(found)
 
+    def notices(self, ids: np.ndarray) -> list[Match]:
+        """Matches of templates of up to NOTICE words. A band can hold several, so each is looked for behind the one before."""
+        places: dict[int, set[int]] = defaultdict(set)
+        for p in np.flatnonzero(self.anchoring[ids]).tolist():
+            for t, q in self.anchors[int(ids[p])]:
+                places[t].add(p - q)
+        found = []
+        for t, offsets in places.items():
+            template, free = self.ids[t], 0
+            n, band = len(template), max(LEAST_BAND, int(SLACK * len(template)))
+            for first in sorted(offsets):
+                lo, hi = max(free, first - band), min(len(ids), first + n + band)
+                # Alignment is slow, and most places lack the words.
+                if hi - lo < COVERAGE * n or np.isin(template, ids[lo:hi]).sum() < COVERAGE * n:
+                    continue
+                matched, start, end = aligned(template, ids[lo:hi], first - lo - band, 2 * band + 1)
+                if matched >= COVERAGE * n:
+                    found.append(Match(self.names[t], matched, matched / n, lo + start, lo + end))
+                    free = lo + end
+        return found
+
 
 def aligned(template: np.ndarray, window: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
     """Most words of template in order in window, within the band of width diagonals from diagonal on, and their span.

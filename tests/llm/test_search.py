@@ -120,3 +120,19 @@ def test_winnowing_guarantee():
         shared = rng.integers(1, 50, span)
         prints = [set(h[licenses.winnowed(h)].tolist()) for h in (licenses.gram_hashes(np.concatenate((rng.integers(1, 50, 7), shared, rng.integers(1, 50, 5)))) for _ in range(2))]
         assert prints[0] & prints[1]
+
+
+def test_short_notices_are_found_whatever_word_is_changed():
+    from quernstone.llm.license_templates import TEMPLATES
+
+    scan = lambda t: [(m.license, m.matched, m.start, m.end) for m in licenses.Index().scan(licenses.words(t.encode()))]
+    assert scan("(c) someone. All rights reserved.") == [("all-rights-reserved", 3, 2, 5)]
+    assert scan("All rights reserved. All rights are reserved.") == [("all-rights-reserved", 3, 0, 3), ("all-rights-reserved", 3, 3, 7)]
+    assert scan("Reserved: all seats. Some rights") == []
+    for name in ("mit-notice", "apache-2.0-line", "gpl-3.0-line", "cc-by-nc-4.0-line", "cc-by-4.0"):
+        w = [x.decode() for x in licenses.words(TEMPLATES[name].encode())]
+        for k in range(len(w)):
+            changed = ["foo", "bar", *w[:k], "xyz", *w[k + 1 :], "baz"]
+            assert (name, len(w) - 1) in [m[:2] for m in scan(" ".join(changed))]
+        spaced = " ".join(x + (" xyz" if 0 < k < 4 else "") for k, x in enumerate(w))
+        assert (name, len(w)) in [m[:2] for m in scan(spaced)]
