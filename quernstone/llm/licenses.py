@@ -22,8 +22,8 @@ from quernstone.llm.words import ALNUM_WORD, words
 GRAM, WINDOW = 3, 3
 #: Words of the longest template that is found by single words.
 NOTICE = 15
-#: Least share of a template's words that a match covers; width of the band on either side, as a share of the template.
-COVERAGE, SLACK, LEAST_BAND = 0.8, 0.25, 4
+#: Least share of a template's words that a whole match covers, and one of which a part is left; width of the band on either side, as a share of the template.
+COVERAGE, PARTIAL, SLACK, LEAST_BAND = 0.8, 0.3, 0.25, 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +58,8 @@ def winnowed(hashes: np.ndarray) -> np.ndarray:
 class Index:
     """Inverted index of the templates' fingerprints, anchors of notices, and words as numbers (0: no template has the word)."""
 
-    def __init__(self, templates: dict[str, str] = TEMPLATES) -> None:
+    def __init__(self, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE) -> None:
+        self.least = least
         self.names, self.ids, self.vocabulary = list(templates), [], {}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -91,7 +92,7 @@ class Index:
             for p in at.tolist():
                 for t, q in self.postings[int(hashes[p])]:
                     places[t].append(p - q)
-        found = self.notices(ids)
+        found, parts = self.notices(ids)
         for t, offsets in places.items():
             template = self.ids[t]
             band = max(LEAST_BAND, int(SLACK * len(template)))
@@ -103,30 +104,53 @@ class Index:
                     last, k = offsets[k], k + 1
                 lo, hi = max(0, first - band), min(len(ids), last + len(template) + band)
                 matched, start, end = aligned(template, ids[lo:hi], first - lo - band, last - first + 2 * band + 1)
-                if matched >= COVERAGE * len(template):
+                if matched < COVERAGE * len(template):
+                    if self.counts(matched, len(template)):
+                        parts.append((t, lo, hi, first - lo - band, last - first + 2 * band + 1))
+                else:
                     found.append(Match(self.names[t], matched, matched / len(template), lo + start, lo + end))
-        return best(found)
-
-    def notices(self, ids: np.ndarray) -> list[Match]:
-        """Matches of templates of up to NOTICE words. A band can hold several, so each is looked for behind the one before."""
+        found = best(found)
+        return sorted([*found, *self.partial(ids, found, parts)], key=lambda m: m.start) if parts else found
+
+    def partial(self, ids: np.ndarray, found: list[Match], parts: list[tuple]) -> list[Match]:
+        """Of candidates that no whole match came of, what words that no whole match covers make of them."""
+        left = ids.copy()
+        for m in found:
+            left[m.start : m.end] = 0
+        out = []
+        for t, lo, hi, diagonal, width in parts:
+            n = len(self.ids[t])
+            matched, start, end = aligned(self.ids[t], left[lo:hi], diagonal, width)
+            if self.counts(matched, n):
+                out.append(Match(self.names[t], matched, matched / n, lo + start, lo + end))
+        return best(out)
+
+    def counts(self, matched: int, n: int) -> bool:
+        """A part has GRAM words at least, as a fingerprint has."""
+        return matched >= COVERAGE * n or matched >= max(GRAM, self.least * n)
+
+    def notices(self, ids: np.ndarray) -> tuple[list[Match], list[tuple]]:
+        """Matches, and candidates of parts, of templates of up to NOTICE words. A band can hold several, so each is looked for behind the one before."""
         places: dict[int, set[int]] = defaultdict(set)
         for p in np.flatnonzero(self.anchoring[ids]).tolist():
             for t, q in self.anchors[int(ids[p])]:
                 places[t].add(p - q)
-        found = []
+        found, parts = [], []
         for t, offsets in places.items():
             template, free = self.ids[t], 0
             n, band = len(template), max(LEAST_BAND, int(SLACK * len(template)))
             for first in sorted(offsets):
                 lo, hi = max(free, first - band), min(len(ids), first + n + band)
                 # Alignment is slow, and most places lack the words.
-                if hi - lo < COVERAGE * n or np.isin(template, ids[lo:hi]).sum() < COVERAGE * n:
+                if hi <= lo or not self.counts(int(np.isin(template, ids[lo:hi]).sum()), n):
                     continue
                 matched, start, end = aligned(template, ids[lo:hi], first - lo - band, 2 * band + 1)
                 if matched >= COVERAGE * n:
                     found.append(Match(self.names[t], matched, matched / n, lo + start, lo + end))
                     free = lo + end
-        return found
+                elif self.counts(matched, n):
+                    parts.append((t, lo, hi, first - lo - band, 2 * band + 1))
+        return found, parts
 
 
 def aligned(template: np.ndarray, window: np.ndarray, diagonal: int, width: int) -> tuple[int, int, int]:
@@ -167,16 +191,19 @@ def best(found: list[Match]) -> list[Match]:
     return sorted(kept, key=lambda m: m.start)
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """One row per match: id_col, license, matched (words), coverage (of the template), start_word, end_word, start, end (characters).
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
+    """One row per match: id_col, license, matched (words), coverage (of the template), start_word, end_word, start, end
+    (characters), complete (coverage of COVERAGE at least).
 
+    Matches that are not complete are given from a coverage of least and GRAM words on; no word counts for them that lies in a
+    complete one.
     Texts without a match, without words, and null texts give no row; repeated rows give repeated results; a null id stays
     null. The templates' index is of the size of the templates. Other columns are not read.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("start_word", "end_word", "start", "end")]])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("start_word", "end_word", "start", "end")], T.StructField("complete", T.BooleanType())])
 
     def run(batches):
-        index = Index(templates)
+        index = Index(templates, least)
         for batch in batches:
             rows, out = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
@@ -184,9 +211,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     at = [m.span() for m in ALNUM_WORD.finditer(text)]
                     for m in found:
                         rows.append(k)
-                        out.append((m.license, m.matched, m.coverage, m.start, m.end, at[m.start][0], at[m.end - 1][1]))
-            columns = list(zip(*out)) or [()] * 7
-            types = (pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 4)
+                        out.append((m.license, m.matched, m.coverage, m.start, m.end, at[m.start][0], at[m.end - 1][1], m.coverage >= COVERAGE))
+            columns = list(zip(*out)) or [()] * 8
+            types = (pa.string(), pa.int64(), pa.float64(), *[pa.int64()] * 4, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types))], schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -136,3 +136,19 @@ def test_short_notices_are_found_whatever_word_is_changed():
             assert (name, len(w) - 1) in [m[:2] for m in scan(" ".join(changed))]
         spaced = " ".join(x + (" xyz" if 0 < k < 4 else "") for k, x in enumerate(w))
         assert (name, len(w)) in [m[:2] for m in scan(spaced)]
+
+
+def test_cut_off_licences_are_reported_by_the_query(spark, tmp_path):
+    from quernstone.llm import queries
+    from quernstone.llm.license_templates import TEMPLATES
+
+    mit, notice = TEMPLATES["mit"], TEMPLATES["mit-notice"]
+    words = mit.split()
+    half = " ".join(words[: len(words) // 2])
+    rows = [(1, f"pre {half}"), (2, " ".join(words[-80:])), (3, mit), (4, "nothing of it"), (5, f"{half}\n{notice}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.license): r for r in queries.op2_license_scan(spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, "mit"), (2, "mit"), (3, "mit"), (5, "mit"), (5, "mit-notice")}
+    assert 0.4 < got[1, "mit"].coverage < 0.6 and not got[1, "mit"].complete
+    assert rows[0][1][got[1, "mit"].start : got[1, "mit"].end] == half
+    assert not got[2, "mit"].complete and got[3, "mit"].complete and got[5, "mit-notice"].complete and not got[5, "mit"].complete
