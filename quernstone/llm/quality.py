@@ -1,4 +1,4 @@
-"""Quality classifier: a factorisation machine over hashed words, structure statistics and metadata (the text's length).
+"""Quality classifier: a factorisation machine over hashed words and structure statistics of the text; metadata is not read.
 
 Pairwise interactions have rank RANK and are scored in time linear in a row's features, by
 sum_{i<j} <v_i, v_j> x_i x_j = 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
