@@ -11,13 +11,36 @@ from quernstone.plans.scratch import scratch_dir, written
 #: A key is hot when it has more than 1/HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1000
 
-__all__ = ["HOT_SHARE", "join_counted", "running_sum", "scratch_dir", "table", "word_count", "written"]
+#: Up to this number of row numbers (8 bytes each) a list of them is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+__all__ = ["HOT_SHARE", "free_name", "join_counted", "join_rows", "numbered", "running_sum", "scratch_dir", "table", "word_count", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """name, or what comes of it by underscores so that no column is named like it (case does not matter)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, as a written table (so that it never changes), and that column's name."""
+    column = free_name(docs.columns, "_row")
+    return written(docs.withColumn(column, F.monotonically_increasing_id()), "numbered"), column
+
+
+def join_rows(docs: DataFrame, side: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """docs joined with side by the row numbers of numbered, which are unique in both."""
+    side = written(side, "rows")
+    return docs.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, column, how)
+
+
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in text; null has none."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quernstone.llm.license_templates import TEMPLATES
-from quernstone.llm.words import ALNUM_WORD, words
+from quernstone.llm.words import ALNUM_WORD, slices, words
 
 GRAM, WINDOW = 3, 3
 #: Words of the longest template that is found by single words.
@@ -204,7 +204,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         index = Index(templates, least)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows, out = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 if text and (found := index.scan(words(text.encode()))):

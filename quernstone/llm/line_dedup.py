@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm.common import join_counted, written
+from quernstone.llm.words import slices
 
 #: Leading tokens of a leaf, share of equal positions.
 LEAD, SIMILAR = 3, 0.8
 #: Tokens from which on a position may differ, so that 1 - SIMILAR of them is one at least.
 LEAST_VARIED = math.ceil(1 / (1 - SIMILAR) - 1e-9)
 #: Distinct lines that a task combines before it sends them on.
-COMBINED_LINES = 200_000
+COMBINED_LINES = 50_000
 #: Up to these numbers of documents and of lines the lists of dropped lines are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS, BROADCAST_LINES = 200_000, 2_000_000
-CACHE_WORDS = 1 << 20
+CACHE_WORDS = 1 << 17
 VARIABLE, DIGIT = re.compile(rb"\S*\d\S*"), re.compile(rb"\d")
 NO_ID = np.iinfo(np.int64).max
 
@@ -72,7 +73,7 @@ def _distinct_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             arrays = [pa.array(c, t) for c, t in zip(columns, types)]
             return pa.RecordBatch.from_arrays([arrays[0], pa.array(keys, pa.binary()), *arrays[1:]], ["leaf", "key", "id", "hash", "low", "high", "n", "tokens"])
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             for i, text in zip(batch.column(0).fill_null(NO_ID).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
@@ -182,7 +183,7 @@ def _templates(lines: DataFrame) -> DataFrame:
 
 def _line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1):
             out = [(i, h, pos, key) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for h in (text_hash(t),) for pos, key, _ in parsed(t)]
             columns = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["id", "hash", "pos", "key"])
@@ -217,7 +218,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     with_hash = T.StructType([*docs.schema.fields, T.StructField("_hash", T.LongType())])
 
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([text_hash(t) if t else None for t in texts], pa.int64())], [*batch.schema.names, "_hash"])
 

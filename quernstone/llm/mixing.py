@@ -69,7 +69,7 @@ def schedule(sources: DataFrame, slots: int, wanted: Column | None = None) -> Da
 
 
 def in_blocks(sources: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """sources with _block, the words of a block of theirs, and all slots: source_no, block.
+    """sources with _block, the words of a block of theirs, and all slots: source_no, block, position (from 0 to 1).
 
     The mix has blocks of one length, which grows with its words. A source of fewer than SOURCE_BLOCKS of them goes to the
     first finer length that gives it as many, or to one word; the sources of a finer length share a schedule, whose slots
@@ -81,20 +81,44 @@ def in_blocks(sources: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     enough = [F.when(F.col("target") >= SOURCE_BLOCKS * n, n) for n in lengths[:-1]]
     sources = written(sources.withColumn("_block", F.coalesce(*enough, F.lit(lengths[-1]))), "sources")
     parts = dict(sources.groupBy("_block").agg(F.sum(F.floor("target"))).collect())
-    slots = schedule(sources, -(-words // lengths[0]), F.col("_block") == lengths[0])
+    def placed(own: DataFrame, n: int, wanted: Column | None = None) -> DataFrame:
+        return schedule(own, n, wanted).select("source_no", "block", (F.col("slot") / F.lit(float(max(1, n)))).alias("position"))
+
+    slots = placed(sources, -(-words // lengths[0]), F.col("_block") == lengths[0])
     for n in lengths[1:]:
         if n in parts:
-            slots = slots.unionByName(schedule(sources.where(F.col("_block") == n), -(-int(parts[n]) // n)))
-    return sources, slots.select("source_no", "block")
+            slots = slots.unionByName(placed(sources.where(F.col("_block") == n), -(-int(parts[n]) // n)))
+    return sources, slots
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """One row per row of docs: id_col, size, source_size, target, taken (words, repeats counted).
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: id_col, size, source_size, target, taken (words, repeats counted), and the columns of keep.
 
     A null text has no words, a null source is a source of its own, the last. Documents of equal id are ordered by size too,
     so reruns agree. Without words every target and every taken is 0. Other columns are not read.
     """
-    sizes = written(docs.select(id_col, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    known, met = _scheduled(docs, id_col, text_col, source_col, weights, total, repeats, seed, keep)
+    taken = met.groupBy("source_no", "_start", id_col, *keep, "size", "source_size", "target").agg(F.sum(F.when(F.col("_met") == 1, F.col("_len")).otherwise(0)).alias("taken"))
+    columns = [id_col, "size", "source_size", "target", "taken", *keep]
+    empty = known.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    return taken.select(*columns).unionByName(empty.select(*columns))
+
+
+def mix_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mix in the order of its schedule: position (share of its schedule that lies before the slot), source_no, block,
+    place (of the piece in its block), id_col, from_word, to_word (of the document), and the columns of keep.
+
+    Ordered by (position, source_no, block, place) the pieces are the mix; a reader writes the words [from_word, to_word).
+    """
+    _, met = _scheduled(docs, id_col, text_col, source_col, weights, total, repeats, seed, keep)
+    start = F.greatest("_a", F.col("block") * F.col("_block"))
+    taken = met.where("_met = 1")
+    return taken.select("position", "source_no", "block", (start - F.col("block") * F.col("_block")).alias("place"), id_col, (start - F.col("_a")).alias("from_word"), (start - F.col("_a") + F.col("_len")).alias("to_word"), *keep)
+
+
+def _scheduled(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total: float, repeats: int, seed: str, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Sizes with their source's target, and the pieces of documents by block, _met where a slot takes the block."""
+    sizes = written(docs.select(id_col, *keep, F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("size")), "sizes")
     sources = written(source_targets(sizes, "_source", weights, total, repeats), "sources")
     words, n_sources = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count(F.lit(1))).first()
     sources, slots = in_blocks(sources, int(words))
@@ -103,14 +127,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     known = sizes.join(side.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "_source")
     shuffled = known.where("size > 0").withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))))
     shuffled = shuffled.withColumn("_bucket", F.substring("_order", 1, 3))
-    lines = running_sum(shuffled, ["source_no"], "_bucket", ["_order", id_col, "size"], "size", "_start")
+    lines = running_sum(shuffled, ["source_no"], "_bucket", ["_order", id_col, "size", *keep], "size", "_start")
     pieces = lines.withColumn("_turn", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     pieces = pieces.withColumn("_a", F.col("_start") + F.col("_turn") * F.col("source_size")).withColumn("_b", F.col("_a") + F.col("size"))
     at = lambda c: F.floor(c / F.col("_block")).cast("long")
     pieces = pieces.withColumn("block", F.explode(F.sequence(at(F.col("_a")), at(F.col("_b") - 1))))
     length = F.least(F.col("_b"), (F.col("block") + 1) * F.col("_block")) - F.greatest(F.col("_a"), F.col("block") * F.col("_block"))
-    met = pieces.withColumn("_len", length).join(slots.withColumn("_met", F.lit(1)), ["source_no", "block"], "left")
-    taken = met.groupBy("source_no", "_start", id_col, "size", "source_size", "target").agg(F.sum(F.when(F.col("_met") == 1, F.col("_len")).otherwise(0)).alias("taken"))
-    columns = [id_col, "size", "source_size", "target", "taken"]
-    empty = known.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    return taken.select(*columns).unionByName(empty.select(*columns))
+    return known, pieces.withColumn("_len", length).join(slots.withColumn("_met", F.lit(1)), ["source_no", "block"], "left")

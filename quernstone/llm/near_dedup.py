@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from quernstone.llm.common import join_counted, written
 from quernstone.llm.components import connected
-from quernstone.llm.words import NONSPACE, words
+from quernstone.llm.words import NONSPACE, slices, word_parts
 
 SHINGLE, PERCENT = 5, 80
 #: A pair at similarity 0.8 shares none of 40 bands of 7 values with probability (1 - 0.8**7)**40 = 8e-5.
@@ -38,7 +38,8 @@ STEP, MISS = 32, 1e-5
 ROUNDS, BLOCK = 2, 1000
 #: Up to this number of ids (8 bytes each) a list of ids is broadcast; larger ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 1 << 20
+#: Word hashes that a worker keeps between texts.
+CACHE_WORDS = 1 << 17
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -59,16 +60,19 @@ class Shingler:
         self.width, self.known = width, {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
-        tokens = words(text, NONSPACE)
-        if not tokens:
+        known, parts = self.known, []
+        for tokens in word_parts(text, NONSPACE):
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for w in set(tokens):
+                if w not in known:
+                    known[w] = xxhash.xxh3_64_intdigest(w)
+            parts.append(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)))
+        if not parts:
+            return np.zeros(0, np.uint64)
+        h = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        if not len(h):
             return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(tokens):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in tokens], np.uint64)
         width = min(self.width, len(h))
         n = len(h) - width + 1
         out = np.full(n, width, np.uint64)
@@ -112,10 +116,10 @@ def least_matches(percent: int, step: int = STEP, hashes: int = HASHES, miss: fl
     return out
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None = None) -> DataFrame:
     def run(batches):
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches, 1):
             n, digest, bands, sketch = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -125,10 +129,11 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                     continue
                 sig = signature(s)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes())), bands.append(band_keys(sig)), sketch.append(sig.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["id", "n", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), batch.column(2)], ["id", "n", "digest", "bands", "sketch", "row"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
-    return source.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch binary")
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"), row.alias("row"))
+    return source.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch binary, row long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -136,7 +141,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, width: in
 
     def run(batches):
         shingles = Shingler(width)
-        for batch in batches:
+        for batch in slices(batches, 1):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -298,8 +303,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     without an id take part in that only, and a component of such rows alone is null. Repeated rows give repeated results,
     each kept if its id is the component's. Other columns are not read.
     """
-    base = written(_sketches(docs, id_col, text_col, width), "signatures")
-    narrow = base.select("id", "n", "digest")
+    out = _components(docs, id_col, text_col, width, percent, None)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def representatives(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """row_col of the rows that stay: of each component one row of the smallest id, the one of the smallest row number (row_col
+    is unique). Of rows without an id that equal each other alone, and of no row with an id, one stays; rows without words
+    all stay."""
+    out = _components(docs, id_col, text_col, width, percent, row_col)
+    wordless = F.when(F.col("digest").isNull(), F.col("row"))
+    kept = out.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("digest")).alias("_d"), wordless.alias("_w"))
+    return kept.agg(F.min("row").alias(row_col)).select(row_col)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None) -> DataFrame:
+    """id, n, digest, row, component_id of every row."""
+    base = written(_sketches(docs, id_col, text_col, width, row_col), "signatures")
+    narrow = base.select("id", "n", "digest", "row")
     groups = narrow.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = written(groups, "groups")
     # By digest and id together: a hot group's rows differ in their ids.
@@ -308,4 +329,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = groups.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"), "copies")
     out = join_counted(narrow, known, "digest", "copies", base.count())
     component = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select("id", "n", "digest", "row", component.alias("component_id"))

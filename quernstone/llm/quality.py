@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.llm.labelled import SAMPLE_ROWS, STATS, remainder, structure, training_rows
-from quernstone.llm.words import NONSPACE, words
+from quernstone.llm.words import NONSPACE, slices, words
 
 RANK, BUCKETS, EPOCHS, BATCH, RATE, DECAY = 8, 1 << 14, 12, 256, 0.05, 1e-4
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.5
@@ -105,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = training_rows(docs, labels, label_col, MODULUS, HELD_OUT, id_col, text_col, rows)
 
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             got = [features(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64()))], ["id", "y", "index", "value"])
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, model, id_col: str, text_col: str, modulus: int, held
 
     def run(batches):
         own = pickle.loads(shared.value)
-        for batch in batches:
+        for batch in slices(batches, text_col):
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.score(texts), pa.float64())], [*batch.schema.names, "score"])
 

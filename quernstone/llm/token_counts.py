@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.words import slices
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's tokenizer cuts a text before merging (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,7 +98,7 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches):
         encoding, lengths = encoder(shared.value, vocabulary)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows, starts, ends, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quernstone.llm.common import written
 from quernstone.llm.labelled import SAMPLE_ROWS, STATS, structure, training_rows
 from quernstone.llm.quality import score
-from quernstone.llm.words import ALNUM, NONSPACE, words
+from quernstone.llm.words import ALNUM, NONSPACE, slices, words
 
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
 #: Voters of one bit each; terms of the linear classifier; least log-likelihood ratio of a term (about one chance in a million).
@@ -239,7 +239,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sample = training_rows(docs, labels, label_col, MODULUS, HELD_OUT, id_col, text_col, rows)
 
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches, 2):
             texts = batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.string()), batch.column(1), pa.array([b" ".join(sorted(set(words(t)))) for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))],
@@ -255,7 +255,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return sum(1 << k for k in lookup.of(tokens)) | sum(1 << (len(voters) + k) for k, on in enumerate(fired) if on)
 
     def vote(batches):
-        for batch in batches:
+        for batch in slices(batches, 0):
             yield pa.RecordBatch.from_arrays([pa.array([mask(set(words(t)), patterns(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["mask"])
 
     votes = written(docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(vote, "mask long"), "votes")

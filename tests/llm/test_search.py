@@ -58,9 +58,28 @@ def test_contamination_against_brute_force(spark, monkeypatch):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items, 5)
     assert measured(contamination(d, b, window=5)) == want
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
     monkeypatch.setattr(decontaminate, "SHARD_SYMBOLS", 50)
-    assert measured(contamination(d, b, window=5)) == want
+    assert len(list(decontaminate.blocks_of(((str(i), t.encode()) for i, t in items), 5))) >= 3
+    assert measured(contamination(d.repartition(3), b, window=5)) == want
+    cleaned = remove_contamination(d, b, window=5)
+    assert not any(hit for _, hit, _ in brute([tuple(r) for r in cleaned.collect()], items, 5).values())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ab ", max_size=30), max_size=6), st.lists(st.text("ab ", max_size=40), max_size=4), st.integers(1, 4), st.integers(1, 60))
+def test_blocks_of_any_size_find_the_same(items, texts, window, size):
+    rows = [(str(i), t.encode()) for i, t in enumerate(items)]
+    want = brute(list(enumerate(texts)), list(enumerate(items)), window)
+    covered, names = {i: set() for i in want}, {i: set() for i in want}
+    for block in decontaminate.blocks_of(rows, window, size):
+        phrases = decontaminate.Phrases(block, window)
+        hits = decontaminate.hits_in([t.encode() for t in texts], phrases, 3)
+        for d, s, e in hits.spans.tolist():
+            covered[d] |= set(range(s, e))
+        for d, k in hits.items.tolist():
+            names[d].add(phrases.names[k])
+    assert {i: (len(covered[i]), sorted(names[i])) for i in want} == {i: w[1:] for i, w in want.items()}
 
 
 def test_removal_leaves_nothing(spark):
