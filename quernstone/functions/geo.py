@@ -5,59 +5,89 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# ISO-3166 alpha-2 codes of regions, by name; names joined by | are aliases, a leading + refers to another region.
-_EU = "at be bg hr cy cz dk ee fi fr de gr hu ie it lv lt lu mt nl pl pt ro sk si es se"
-_NORDICS = "se no dk fi is"
+# ISO-3166 alpha-2 codes of regions, by name.
 REGIONS = {
-    "europe|european": _EU + " gb uk ch no is li mc sm ad va rs ba me mk al md ua by ru tr ge am az xk",
-    "european union|eu": _EU,
-    "eea": _EU + " no is li",
-    "western europe": "fr de nl be lu at ch gb ie es pt it",
-    "eastern europe": "pl cz sk hu ro bg hr si ee lv lt ua md rs",
-    "northern europe": _NORDICS + " ee lv lt gb ie",
-    "southern europe": "es pt it gr hr si mt cy",
-    "central europe": "de at ch pl cz sk hu si",
-    "scandinavia|scandinavian": "se no dk",
-    "nordics|nordic|nordic countries": _NORDICS,
-    "dach": "de at ch",
-    "benelux": "be nl lu",
-    "iberia|iberian peninsula": "es pt",
-    "baltics|baltic states": "ee lv lt",
-    "british isles": "gb ie",
-    "north america": "us ca mx",
-    "latin america": "mx br ar cl co pe uy ve ec bo py cr pa",
-    "south america": "br ar cl co pe uy ve ec bo py",
-    "apac|asia pacific|asia-pacific": "cn jp kr in au nz sg my th id ph vn tw hk bd pk lk",
-    "southeast asia": "sg my th id ph vn kh la mm bn",
-    "middle east": "ae sa qa kw bh om jo lb il iq ir ye sy",
-    "mena": "ae sa qa kw bh om eg ma tn dz jo lb il iq ir",
-    "gcc": "ae sa qa kw bh om",
-    "africa": "za ng ke eg ma gh tz ug et dz tn sn ci cm zm zw rw mz ao",
-    "oceania": "au nz fj pg",
-    "global|worldwide|anywhere": "",
-}
-# Country names by code.
+    "europe": [
+        "at", "be", "bg", "hr", "cy", "cz", "dk", "ee", "fi", "fr", "de", "gr", "hu", "ie", "it", "lv", "lt", "lu", "mt",
+        "nl", "pl", "pt", "ro", "sk", "si", "es", "se", "gb", "uk", "ch", "no", "is", "li", "mc", "sm", "ad", "va", "rs",
+        "ba", "me", "mk", "al", "md", "ua", "by", "ru", "tr", "ge", "am", "az", "xk",
+    ],
+    "european": [
+        "at", "be", "bg", "hr", "cy", "cz", "dk", "ee", "fi", "fr", "de", "gr", "hu", "ie", "it", "lv", "lt", "lu", "mt",
+        "nl", "pl", "pt", "ro", "sk", "si", "es", "se", "gb", "uk", "ch", "no", "is", "li", "mc", "sm", "ad", "va", "rs",
+        "ba", "me", "mk", "al", "md", "ua", "by", "ru", "tr", "ge", "am", "az", "xk",
+    ],
+    "european union": [
+        "at", "be", "bg", "hr", "cy", "cz", "dk", "ee", "fi", "fr", "de", "gr", "hu", "ie", "it", "lv", "lt", "lu", "mt",
+        "nl", "pl", "pt", "ro", "sk", "si", "es", "se",
+    ],
+    "eu": [
+        "at", "be", "bg", "hr", "cy", "cz", "dk", "ee", "fi", "fr", "de", "gr", "hu", "ie", "it", "lv", "lt", "lu", "mt",
+        "nl", "pl", "pt", "ro", "sk", "si", "es", "se",
+    ],
+    "eea": [
+        "at", "be", "bg", "hr", "cy", "cz", "dk", "ee", "fi", "fr", "de", "gr", "hu", "ie", "it", "lv", "lt", "lu", "mt",
+        "nl", "pl", "pt", "ro", "sk", "si", "es", "se", "no", "is", "li",
+    ],
+    "western europe": ["fr", "de", "nl", "be", "lu", "at", "ch", "gb", "ie", "es", "pt", "it"],
+    "eastern europe": ["pl", "cz", "sk", "hu", "ro", "bg", "hr", "si", "ee", "lv", "lt", "ua", "md", "rs"],
+    "northern europe": ["se", "no", "dk", "fi", "is", "ee", "lv", "lt", "gb", "ie"],
+    "southern europe": ["es", "pt", "it", "gr", "hr", "si", "mt", "cy"],
+    "central europe": ["de", "at", "ch", "pl", "cz", "sk", "hu", "si"],
+    "scandinavia": ["se", "no", "dk"],
+    "scandinavian": ["se", "no", "dk"],
+    "nordics": ["se", "no", "dk", "fi", "is"],
+    "nordic": ["se", "no", "dk", "fi", "is"],
+    "nordic countries": ["se", "no", "dk", "fi", "is"],
+    "dach": ["de", "at", "ch"],
+    "benelux": ["be", "nl", "lu"],
+    "iberia": ["es", "pt"],
+    "iberian peninsula": ["es", "pt"],
+    "baltics": ["ee", "lv", "lt"],
+    "baltic states": ["ee", "lv", "lt"],
+    "british isles": ["gb", "ie"],
+    "north america": ["us", "ca", "mx"],
+    "latin america": ["mx", "br", "ar", "cl", "co", "pe", "uy", "ve", "ec", "bo", "py", "cr", "pa"],
+    "south america": ["br", "ar", "cl", "co", "pe", "uy", "ve", "ec", "bo", "py"],
+    "apac": ["cn", "jp", "kr", "in", "au", "nz", "sg", "my", "th", "id", "ph", "vn", "tw", "hk", "bd", "pk", "lk"],
+    "asia pacific": ["cn", "jp", "kr", "in", "au", "nz", "sg", "my", "th", "id", "ph", "vn", "tw", "hk", "bd", "pk", "lk"],
+    "asia-pacific": ["cn", "jp", "kr", "in", "au", "nz", "sg", "my", "th", "id", "ph", "vn", "tw", "hk", "bd", "pk", "lk"],
+    "southeast asia": ["sg", "my", "th", "id", "ph", "vn", "kh", "la", "mm", "bn"],
+    "middle east": ["ae", "sa", "qa", "kw", "bh", "om", "jo", "lb", "il", "iq", "ir", "ye", "sy"],
+    "mena": ["ae", "sa", "qa", "kw", "bh", "om", "eg", "ma", "tn", "dz", "jo", "lb", "il", "iq", "ir"],
+    "gcc": ["ae", "sa", "qa", "kw", "bh", "om"],
+    "africa": [
+        "za", "ng", "ke", "eg", "ma", "gh", "tz", "ug", "et", "dz", "tn", "sn", "ci", "cm", "zm", "zw", "rw", "mz", "ao",
+    ],
+    "oceania": ["au", "nz", "fj", "pg"],
+    "global": [],
+    "worldwide": [],
+    "anywhere": [],
+}
+# Country names and their codes.
 COUNTRIES = {
-    "af": "afghanistan", "al": "albania", "dz": "algeria", "ad": "andorra", "ao": "angola", "ar": "argentina", "am": "armenia",
-    "au": "australia", "at": "austria", "az": "azerbaijan", "bh": "bahrain", "bd": "bangladesh", "by": "belarus", "be": "belgium",
-    "bo": "bolivia", "ba": "bosnia|bosnia and herzegovina", "br": "brazil", "bn": "brunei", "bg": "bulgaria", "kh": "cambodia",
-    "cm": "cameroon", "ca": "canada", "cl": "chile", "cn": "china", "co": "colombia", "cr": "costa rica", "hr": "croatia",
-    "cy": "cyprus", "cz": "czech republic|czechia", "dk": "denmark", "ec": "ecuador", "eg": "egypt", "ee": "estonia",
-    "et": "ethiopia", "fi": "finland", "fr": "france", "ge": "georgia", "de": "germany", "gh": "ghana", "gr": "greece",
-    "hk": "hong kong", "hu": "hungary", "is": "iceland", "in": "india", "id": "indonesia", "ir": "iran", "iq": "iraq",
-    "ie": "ireland", "il": "israel", "it": "italy", "ci": "ivory coast", "jp": "japan", "jo": "jordan", "kz": "kazakhstan",
-    "ke": "kenya", "kw": "kuwait", "lv": "latvia", "lb": "lebanon", "li": "liechtenstein", "lt": "lithuania", "lu": "luxembourg",
-    "my": "malaysia", "mt": "malta", "mx": "mexico", "md": "moldova", "mc": "monaco", "me": "montenegro", "ma": "morocco",
-    "mz": "mozambique", "mm": "myanmar", "nl": "netherlands|holland", "nz": "new zealand", "ng": "nigeria",
-    "mk": "north macedonia|macedonia", "no": "norway", "om": "oman", "pk": "pakistan", "pa": "panama", "pg": "papua new guinea",
-    "py": "paraguay", "pe": "peru", "ph": "philippines", "pl": "poland", "pt": "portugal", "qa": "qatar", "ro": "romania",
-    "ru": "russia|russian federation", "rw": "rwanda", "sm": "san marino", "sa": "saudi arabia", "sn": "senegal", "rs": "serbia",
-    "sg": "singapore", "sk": "slovakia", "si": "slovenia", "za": "south africa", "kr": "south korea|korea", "es": "spain",
-    "lk": "sri lanka", "se": "sweden", "ch": "switzerland", "sy": "syria", "tw": "taiwan", "tz": "tanzania", "th": "thailand",
-    "tn": "tunisia", "tr": "turkey", "ug": "uganda", "ua": "ukraine", "ae": "united arab emirates|uae",
-    "gb": "united kingdom|uk|britain|great britain|england|scotland|wales|northern ireland",
-    "us": "united states|united states of america|usa|us|america", "uy": "uruguay", "uz": "uzbekistan", "ve": "venezuela",
-    "vn": "vietnam", "ye": "yemen", "zm": "zambia", "zw": "zimbabwe",
+    "afghanistan": "af", "albania": "al", "algeria": "dz", "andorra": "ad", "angola": "ao", "argentina": "ar",
+    "armenia": "am", "australia": "au", "austria": "at", "azerbaijan": "az", "bahrain": "bh", "bangladesh": "bd",
+    "belarus": "by", "belgium": "be", "bolivia": "bo", "bosnia": "ba", "bosnia and herzegovina": "ba", "brazil": "br",
+    "brunei": "bn", "bulgaria": "bg", "cambodia": "kh", "cameroon": "cm", "canada": "ca", "chile": "cl", "china": "cn",
+    "colombia": "co", "costa rica": "cr", "croatia": "hr", "cyprus": "cy", "czech republic": "cz", "czechia": "cz",
+    "denmark": "dk", "ecuador": "ec", "egypt": "eg", "estonia": "ee", "ethiopia": "et", "finland": "fi", "france": "fr",
+    "georgia": "ge", "germany": "de", "ghana": "gh", "greece": "gr", "hong kong": "hk", "hungary": "hu", "iceland": "is",
+    "india": "in", "indonesia": "id", "iran": "ir", "iraq": "iq", "ireland": "ie", "israel": "il", "italy": "it",
+    "ivory coast": "ci", "japan": "jp", "jordan": "jo", "kazakhstan": "kz", "kenya": "ke", "kuwait": "kw", "latvia": "lv",
+    "lebanon": "lb", "liechtenstein": "li", "lithuania": "lt", "luxembourg": "lu", "malaysia": "my", "malta": "mt",
+    "mexico": "mx", "moldova": "md", "monaco": "mc", "montenegro": "me", "morocco": "ma", "mozambique": "mz",
+    "myanmar": "mm", "netherlands": "nl", "holland": "nl", "new zealand": "nz", "nigeria": "ng", "north macedonia": "mk",
+    "macedonia": "mk", "norway": "no", "oman": "om", "pakistan": "pk", "panama": "pa", "papua new guinea": "pg",
+    "paraguay": "py", "peru": "pe", "philippines": "ph", "poland": "pl", "portugal": "pt", "qatar": "qa", "romania": "ro",
+    "russia": "ru", "russian federation": "ru", "rwanda": "rw", "san marino": "sm", "saudi arabia": "sa", "senegal": "sn",
+    "serbia": "rs", "singapore": "sg", "slovakia": "sk", "slovenia": "si", "south africa": "za", "south korea": "kr",
+    "korea": "kr", "spain": "es", "sri lanka": "lk", "sweden": "se", "switzerland": "ch", "syria": "sy", "taiwan": "tw",
+    "tanzania": "tz", "thailand": "th", "tunisia": "tn", "turkey": "tr", "uganda": "ug", "ukraine": "ua",
+    "united arab emirates": "ae", "uae": "ae", "united kingdom": "gb", "uk": "gb", "britain": "gb", "great britain": "gb",
+    "england": "gb", "scotland": "gb", "wales": "gb", "northern ireland": "gb", "united states": "us",
+    "united states of america": "us", "usa": "us", "us": "us", "america": "us", "uruguay": "uy", "uzbekistan": "uz",
+    "venezuela": "ve", "vietnam": "vn", "yemen": "ye", "zambia": "zm", "zimbabwe": "zw",
 }
 # Codes in use that are not canonical, and the alpha-3 codes that are understood.
 RECODED = {"uk": "gb", "el": "gr"}
@@ -65,11 +95,11 @@ ALPHA3 = {"usa": "us", "gbr": "gb", "deu": "de", "fra": "fr", "che": "ch", "swe"
 
 
 def region_rows() -> list[tuple[str, list[str]]]:
-    return [(name, sorted(codes.split())) for names, codes in REGIONS.items() for name in names.split("|")]
+    return [(name, sorted(codes)) for name, codes in REGIONS.items()]
 
 
 def country_rows() -> list[tuple[str, str]]:
-    return [(name, code) for code, names in COUNTRIES.items() for name in names.split("|")]
+    return list(COUNTRIES.items())
 
 
 def recoded(code: Column) -> Column:

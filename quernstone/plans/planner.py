@@ -9,8 +9,8 @@ from quernstone.functions import geo
 
 #: Words that are no keywords (fixed values).
 STOPWORDS = (
-    "a an and are as at be by for in is of on or that the to with companies company business firm firms which who providing "
-    "provides provide more than over under fewer less least most using used use"
+    "a an and are as at be by for in is of on or that the to with companies company business firms firm that which who "
+    "providing provides provide more than over under fewer less least most using used use"
 ).split()
 # How constraints are written.
 EMPLOYEES_MIN = r"(?:more than|over|at least|above|>)\s*([\d,]+)\s*(?:\+)?\s*employees"
@@ -22,6 +22,7 @@ REVENUE_MIN = (
 FOUNDED_AFTER = r"(?:founded|established|started)\s*(?:after|since|in or after)\s*(\d{4})"
 FOUNDED_BEFORE = r"(?:founded|established)\s*(?:before|prior to)\s*(\d{4})"
 PUBLIC, PRIVATE = r"\bpublic(?:ly)?(?:\straded)?\b", r"\bprivate(?:ly held)?\b"
+# Classes of requests, and how many keywords a plan without a model has.
 COMPLEXITIES = ("STRUCTURED", "SEMANTIC", "REASONING")
 KEYWORDS = 15
 
