@@ -27,13 +27,15 @@ def running_sum(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence
     )
 
 
-def rank_desc(df: DataFrame, key: str, score: str, id_col: str, out: str, cells: float = 64.0, spread: int = 1 << 16) -> DataFrame:
+def rank_desc(df: DataFrame, key: str, score: str, id_col: str, out: str, cells: float | None = 64.0, spread: int = 1 << 16) -> DataFrame:
     """0-based rank by score descending, then id ascending, within key; ties get distinct ranks.
 
-    Scores are cut into cells of 1 / cells; the score 0, which most rows of a sparse signal share, is cut by ranges of ids.
+    Scores are cut into cells of 1 / cells; the score 0, which most rows of a sparse signal share, is cut by ranges of ids. A
+    score of few values has cells None: each value is a cell, and is cut by ranges of ids.
     """
-    cell = F.floor(-F.col(score) * F.lit(cells))
-    inside = F.when(F.col(score) == 0, F.floor(F.col(id_col) / F.lit(spread))).otherwise(F.lit(0))
+    cell = -F.col(score) if cells is None else F.floor(-F.col(score) * F.lit(cells))
+    ranges = F.floor(F.col(id_col) / F.lit(spread))
+    inside = ranges if cells is None else F.when(F.col(score) == 0, ranges).otherwise(F.lit(0))
     marked = df.withColumn("_cell", F.struct(cell.alias("c"), inside.alias("i"))).withColumn("_one", F.lit(1))
     return running_sum(marked, [key], "_cell", [F.desc(score), id_col], "_one", out).drop("_cell", "_one")
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quernstone.functions.windows import top
+
 RELEVANT = 2
 
 
@@ -29,8 +31,10 @@ def summarise(runs: DataFrame, grades: DataFrame, ks: Sequence[int] = (5, 10, 20
     rows = graded(runs, grades).withColumn("rel", (F.col("grade") >= RELEVANT).cast("int"))
     along = Window.partitionBy("query_id", "system").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_hits", F.sum("rel").over(along))
-    ideal = grades.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "org_id")))
-    pool = ideal.groupBy("query_id").agg(F.count_if(F.col("grade") >= RELEVANT).alias("in_pool"), *[F.sum(F.when(F.col("_i") <= k, gain(F.col("grade"), F.col("_i")))).alias(f"_ideal_{k}") for k in ks])
+    # Of a pool only the best max(ks) are ranked; how many are relevant is a plain count.
+    best = top(grades.select("query_id", "org_id", "grade"), "query_id", [F.desc("grade"), F.col("org_id")], max(ks), "_i").withColumn("_i", F.col("_i") + 1)
+    ideal = best.groupBy("query_id").agg(*[F.sum(F.when(F.col("_i") <= k, gain(F.col("grade"), F.col("_i")))).alias(f"_ideal_{k}") for k in ks])
+    pool = grades.groupBy("query_id").agg(F.count_if(F.col("grade") >= RELEVANT).alias("in_pool")).join(ideal, "query_id")
     sums = [F.sum(F.when(F.col("pos") <= k, F.col("rel")).otherwise(0)).alias(f"_rel_{k}") for k in ks]
     sums += [F.sum(F.when(F.col("pos") <= k, gain(F.col("grade"), F.col("pos"))).otherwise(0.0)).alias(f"_dcg_{k}") for k in ks]
     per = rows.groupBy("query_id", "system").agg(F.count(F.lit(1)).alias("returned"), F.sum("rel").alias("found"), F.coalesce(F.avg(F.when(F.col("rel") == 1, F.col("_hits") / F.col("pos"))), F.lit(0.0)).alias("average_precision"), *sums)

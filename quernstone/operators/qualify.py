@@ -69,10 +69,19 @@ def adjudicate(candidates: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFra
     return batches(candidates, size).groupBy("query_id", "batch").applyInPandas(run, "query_id string, org_id long, verdict string, confidence double, reason string, tier string")
 
 
+def first_opinion() -> tuple[Column, Column]:
+    missing = F.col("tier") == "missing"
+    return F.when(missing, "REJECTED").otherwise(F.col("verdict")), F.when(missing, 0.0).otherwise(F.col("confidence"))
+
+
 def needs_escalation(config: Config = Config()) -> Column:
-    """On rows with verdict, confidence, tier, unknown, rank0 and total (candidates of the query)."""
-    rejected, qualified = F.col("verdict") == "REJECTED", F.col("verdict") == "QUALIFIED"
-    unsure = F.col("confidence").between(config.escalate_low, config.escalate_high) | (F.col("verdict") == "PARTIAL") | (F.col("tier") == "error")
+    """On rows with verdict, confidence, tier, unknown, rank0 and total (candidates of the query).
+
+    A row that got no verdict counts as rejected with confidence 0 here.
+    """
+    verdict, confidence = first_opinion()
+    rejected, qualified = verdict == "REJECTED", verdict == "QUALIFIED"
+    unsure = confidence.between(config.escalate_low, config.escalate_high) | (verdict == "PARTIAL") | (F.col("tier") == "error")
     head = (F.col("rank0") < F.greatest(F.lit(1), F.floor(F.col("total") / 10))) & rejected
     tail = (F.col("rank0") > 0.6 * F.col("total")) & qualified
     return unsure | head | tail | ((F.size("unknown") > 0) & ~rejected)
@@ -84,15 +93,20 @@ def escalation_pick(judged: DataFrame, config: Config = Config()) -> DataFrame:
     A shortlist has at most config.max_shortlist rows, so a query's window is small.
     """
     counted = judged.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    order = Window.partitionBy("query_id").orderBy(F.abs(F.round(F.col("confidence") * 100).cast("int") - 50), "rank0")
+    order = Window.partitionBy("query_id").orderBy(F.abs(first_opinion()[1] - 0.5), "rank0")
     flagged = counted.where(needs_escalation(config)).withColumn("pick", F.row_number().over(order) - 1)
     return flagged.where(F.col("pick") < F.greatest(F.lit(1), F.floor(F.col("total") * config.escalate_share)))
 
 
 def escalate(judged: DataFrame, second: DataFrame) -> DataFrame:
-    """judged with the verdicts of second(query_id, org_id, verdict, confidence, tier) in their place, errors aside; escalated tells."""
-    new = second.where("tier <> 'error'").select("query_id", "org_id", F.struct("verdict", "confidence", "tier").alias("_new"))
+    """judged with what second(query_id, org_id, verdict, confidence, tier, and reason and met if it has them) says in its place,
+    errors aside; escalated tells. A second opinion is taken whole: a reason or criteria that it lacks are not those of the first."""
+    said = ["verdict", "confidence", "tier", *(c for c in ("reason", "met") if c in second.columns and c in judged.columns)]
+    new = second.where("tier <> 'error'").select("query_id", "org_id", F.struct(*said).alias("_new"))
     met = judged.join(new, ["query_id", "org_id"], "left").withColumn("escalated", F.col("_new").isNotNull())
+    for c in ("reason", "met"):
+        if c in said:
+            met = met.withColumn(c, F.when(F.col("escalated"), F.col(f"_new.{c}")).otherwise(F.col(c)))
     for c in ("verdict", "confidence", "tier"):
         met = met.withColumn(c, F.coalesce(F.col(f"_new.{c}"), F.col(c)))
     return met.drop("_new")
@@ -100,7 +114,7 @@ def escalate(judged: DataFrame, second: DataFrame) -> DataFrame:
 
 def second_opinion_by_rules(picked: DataFrame) -> DataFrame:
     verdict, sure = rule_verdict(F.col("hits"), F.col("need"), F.col("matched"), escalated=True)
-    return picked.select("query_id", "org_id", verdict.alias("verdict"), (sure / 100).alias("confidence"), F.lit("rules-2").alias("tier"))
+    return picked.select("query_id", "org_id", verdict.alias("verdict"), (sure / 100).alias("confidence"), F.lit("rules-2").alias("tier"), F.lit("rules-2").alias("reason"))
 
 
 def remote(fetch: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], rows: DataFrame, schema: str) -> DataFrame:

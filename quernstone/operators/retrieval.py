@@ -2,27 +2,48 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quernstone.config import Config
 from quernstone.functions.text import tokenize
 from quernstone.functions.vector import cosine
 from quernstone.functions.windows import rank_desc, top
+from quernstone.plans.scratch import written
+
+#: Up to this many query terms are named to the scan of the index; more are only joined.
+PUSHED_TERMS = 2000
+#: Query vectors of one block, which is broadcast.
+QUERY_BLOCK = 1024
+
+
+def words(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
+    """org_id, _words: the tokens of a document; postings and lengths follow from it, so write it where both are wanted."""
+    return documents.select(F.col(id_col).alias("org_id"), tokenize(F.col(text_col)).alias("_words"))
 
 
 def postings(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
-    """id, term, tf, length: one row per distinct term of a document. Built once; written bucketed by term for reuse."""
-    words = documents.select(F.col(id_col).alias("org_id"), tokenize(F.col(text_col)).alias("_words"))
-    sized = words.withColumn("length", F.size("_words"))
+    """id, term, tf, length: one row per distinct term of a document. documents may be ``words`` already."""
+    sized = (documents if "_words" in documents.columns else words(documents, id_col, text_col)).withColumn("length", F.size("_words"))
     # explode of a map would count in the same row; counting by a shuffle is combined before it.
     terms = sized.select("org_id", "length", F.explode("_words").alias("term"))
     return terms.groupBy("org_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).select("org_id", "term", "tf", "length")
 
 
 def lengths(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
-    """Documents without a token are kept at 0."""
-    return documents.select(F.col(id_col).alias("org_id"), F.size(tokenize(F.col(text_col))).alias("length"))
+    """Documents without a token are kept at 0. documents may be ``words`` already."""
+    tokens = documents if "_words" in documents.columns else words(documents, id_col, text_col)
+    return tokens.select("org_id", F.size("_words").alias("length"))
+
+
+def by_term(index: DataFrame) -> DataFrame:
+    """postings in order of their terms, for writing: a run that names its terms reads the parts that hold them only."""
+    return index.repartitionByRange("term").sortWithinPartitions("term")
 
 
 def query_terms(specs: DataFrame) -> DataFrame:
@@ -35,8 +56,13 @@ def query_terms(specs: DataFrame) -> DataFrame:
 def bm25(kept: DataFrame, index: DataFrame, sizes: DataFrame, terms: DataFrame, config: Config = Config()) -> DataFrame:
     """query_id, org_id, bm25 of kept(query_id, org_id) that hold a query term; statistics are those of a query's survivors.
 
-    Query terms cut the index first (a stated, broadcast set), so only postings of wanted terms are shuffled.
+    Query terms cut the index first (those of a run's stated queries), by a filter that reaches the scan of a written index, so
+    only postings of wanted terms are read and shuffled.
     """
+    terms = written(terms, "terms")
+    named = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(named) <= PUSHED_TERMS:
+        index = index.where(F.col("term").isin(named))
     stats = kept.join(sizes, "org_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     wanted = index.join(F.broadcast(terms), "term").join(kept, ["query_id", "org_id"], "left_semi")
     frequency = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -84,7 +110,7 @@ def fuse(scored: DataFrame, config: Config = Config()) -> DataFrame:
     """
     part = lambda weight: F.lit(weight) / (F.lit(config.rrf_k) + F.col("_rank") + 1)
     lists = None
-    for name, weight, cells in (("dense", config.weight_dense, 4096.0), ("bm25", config.weight_bm25, 256.0), ("code_score", config.weight_code, 1000.0)):
+    for name, weight, cells in (("dense", config.weight_dense, 4096.0), ("bm25", config.weight_bm25, 256.0), ("code_score", config.weight_code, None)):
         own = scored.where("has_prefixes") if name == "code_score" else scored
         ranked = rank_desc(own.select("query_id", "org_id", name), "query_id", name, "org_id", "_rank", cells)
         one = ranked.select("query_id", "org_id", F.lit(name).alias("signal"), part(weight).alias("part"))
@@ -105,10 +131,47 @@ def shortlist(fused: DataFrame, config: Config = Config()) -> DataFrame:
     return top(fused, "query_id", [F.desc("fused"), F.col("org_id")], config.max_shortlist).where(F.col("rank0") < budget)
 
 
-def nearest(embeddings: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, org_id, similarity, rank0 of the k nearest of each stated query, over the whole table."""
-    met = embeddings.crossJoin(F.broadcast(vectors)).select("query_id", "org_id", cosine(F.col("embedding"), F.col("vector")).alias("similarity"))
-    return top(met, "query_id", [F.desc("similarity"), F.col("org_id")], k)
+def nearest(embeddings: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, org_id, similarity (to 12 places), rank0 of the k nearest of each stated query, over the whole table.
+
+    Queries go to the table in blocks of bounded size; a task multiplies a block with the rows of an Arrow batch and keeps the k
+    best of each query, so k rows a query and batch are all that is shuffled. Rows without a vector are not found.
+    """
+    spark, kind = embeddings.sparkSession, vectors.schema["query_id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), embeddings.schema["org_id"], T.StructField("similarity", T.DoubleType())])
+    found, held = None, []
+
+    def scan(rows: list) -> DataFrame:
+        ids = [r[0] for r in rows]
+        shared = spark.sparkContext.broadcast((ids, unit(np.array([r[1] for r in rows], float))))
+
+        def run(batches):
+            names, queries = shared.value
+            for batch in batches:
+                batch = batch.filter(pc.is_valid(batch.column(1)))
+                if not batch.num_rows:
+                    continue
+                flat = pc.cast(batch.column(1), pa.list_(pa.float64())).flatten().to_numpy(zero_copy_only=False)
+                score = np.round(queries @ unit(flat.reshape(batch.num_rows, -1)).T, 12)
+                org = batch.column(0).to_numpy(zero_copy_only=False)
+                order = np.argsort(org, kind="stable")
+                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
+                q = np.repeat(np.arange(len(names)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], to_arrow_type(kind)), batch.column(0).take(pa.array(best.ravel())), pa.array(score[q, best.ravel()])], schema.names)
+
+        return embeddings.select("org_id", "embedding").mapInArrow(run, schema)
+
+    for r in vectors.select("query_id", "vector").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            found, held = scan(held) if found is None else found.unionByName(scan(held)), []
+    if held or found is None:
+        found = scan(held) if found is None else found.unionByName(scan(held))
+    return top(found, "query_id", [F.desc("similarity"), F.col("org_id")], k)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=-1, keepdims=True)), 1e-12) if rows.size else rows.reshape(len(rows), -1)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:

@@ -44,11 +44,11 @@ def _number(x) -> str:
 
 
 _rows = ",\n".join(
-    f"({_text(q)}, {_text(c)}, {_list(kw.split())}, {_list(co.split())}, {', '.join(map(_number, (*e, *r, *f)))}, {'CAST(NULL AS BOOLEAN)' if p is None else str(p).upper()}, {_list(pre.split())}, {v})"
-    for q, c, kw, co, e, r, f, p, pre, v in SPECS
+    f"({_text(q)}, {_text(c)}, {_list(kw.split())}, {_list(co.split())}, {', '.join(map(_number, (*e, *r, *f)))}, {'CAST(NULL AS BOOLEAN)' if p is None else str(p).upper()}, {_list(pre.split())}, {v}, {_text(role)}, {_text(ideal)})"
+    for q, c, kw, co, e, r, f, p, pre, v, role, ideal in SPECS
 )
 SPEC_ROWS = f"""
-specs(query_id, complexity, keywords, countries, emp_min, emp_max, rev_min, rev_max, year_min, year_max, want_public, prefixes, vec_id) AS (VALUES
+specs(query_id, complexity, keywords, countries, emp_min, emp_max, rev_min, rev_max, year_min, year_max, want_public, prefixes, vec_id, role_statement, ideal_profile) AS (VALUES
 {_rows})"""
 
 
@@ -98,7 +98,7 @@ def _bm25(kept: str) -> str:
     return f"""
 words AS (SELECT org_id, {_tokens("description")} AS w FROM companies),
 post AS (SELECT org_id, term, count(*) AS tf, any_value(len(w)) AS length FROM (SELECT org_id, w, unnest(w) AS term FROM words) GROUP BY org_id, term),
-qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_tokens("array_to_string(keywords, ' ')")}) AS term FROM specs) GROUP BY query_id, term),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_tokens("array_to_string(keywords, ' ') || ' ' || role_statement || ' ' || ideal_profile")}) AS term FROM specs) GROUP BY query_id, term),
 stat AS (SELECT query_id, count(*) AS n, avg(len(w)) AS avg_length FROM {kept} JOIN words USING (org_id) GROUP BY query_id),
 want AS (SELECT qt.query_id, post.org_id, post.term, tf, length, times FROM post JOIN qt USING (term) JOIN {kept} k ON k.query_id = qt.query_id AND k.org_id = post.org_id),
 freq AS (SELECT query_id, term, count(*) AS df FROM want GROUP BY query_id, term),
@@ -163,7 +163,7 @@ judged AS (
 ),
 picked AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(conf_pct - 50), rank0) - 1 AS pick FROM judged
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(conf_pct / 100.0::DOUBLE - 0.5::DOUBLE), rank0) - 1 AS pick FROM judged
     WHERE conf_pct BETWEEN 35 AND 72 OR verdict = 'PARTIAL' OR (rank0 < greatest(1, total // 10) AND verdict = 'REJECTED') OR (rank0 > 0.6::DOUBLE * total AND verdict = 'QUALIFIED') OR (unknown <> '' AND verdict <> 'REJECTED')
   ) WHERE pick < greatest(1, CAST(floor(total * 0.25::DOUBLE) AS BIGINT))
 )"""

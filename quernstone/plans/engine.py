@@ -20,8 +20,10 @@ class Engine:
         self.config = config
         documents = companies.withColumn("document", text.company_document()) if "document" not in companies.columns else companies
         self.companies = documents
-        self.index = index if index is not None else written(retrieval.postings(documents), "postings")
-        self.sizes = sizes if sizes is not None else written(retrieval.lengths(documents), "lengths")
+        if index is None or sizes is None:
+            words = written(retrieval.words(documents), "words")
+        self.index = index if index is not None else written(retrieval.by_term(retrieval.postings(words)), "postings")
+        self.sizes = sizes if sizes is not None else retrieval.lengths(words)
 
     def survivors(self, specs: DataFrame) -> DataFrame:
         thin = self.companies.select("org_id", *[c for c in ("country_code", "employee_count", "revenue", "year_founded", "is_public")])

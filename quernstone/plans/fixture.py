@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from quernstone.functions.coerce import CODE
 
-#: query_id, complexity, keywords, countries, employees, revenue, founded, want_public, prefixes, vec_id (fixed values).
+#: query_id, complexity, keywords, countries, employees, revenue, founded, want_public, prefixes, vec_id, role statement, ideal
+#: profile (fixed values). s07 leaves so few rows that its ranges are relaxed; no row of s08 is accepted, so it falls back.
 SPECS = (
-    ("s01", "STRUCTURED", "tion thing ering", "nation_3 nation_7 nation_11 nation_19", (None, None), (None, None), (None, None), None, "3112 3125", 11),
-    ("s02", "STRUCTURED", "ther ingly", "", (1000, None), (None, None), (None, None), True, "", 23),
-    ("s03", "SEMANTIC", "mente para los", "nation_0 nation_1 nation_2 nation_3 nation_4 nation_5 nation_6 nation_7 nation_8", (None, 4000), (None, None), (None, None), None, "32 3261", 37),
-    ("s04", "REASONING", "with from this", "", (None, None), (None, None), (None, None), None, "", 41),
-    ("s05", "SEMANTIC", "und der ein", "", (None, 2000), (100000, None), (1970, 2015), None, "311 31 3", 53),
-    ("s06", "REASONING", "le les eau ment", "nation_12", (4990, None), (400000, None), (2020, None), False, "33", 67),
+    ("s01", "STRUCTURED", "tion thing ering", "nation_3 nation_7 nation_11 nation_19", (None, None), (None, None), (None, None), None, "3112 3125", 11, "mills ering grain", "A mill and the things of it"),
+    ("s02", "STRUCTURED", "ther ingly", "", (1000, None), (None, None), (None, None), True, "", 23, "", ""),
+    ("s03", "SEMANTIC", "mente para los", "nation_0 nation_1 nation_2 nation_3 nation_4 nation_5 nation_6 nation_7 nation_8", (None, 4000), (None, None), (None, None), None, "32 3261", 37, "", "para mente"),
+    ("s04", "REASONING", "with from this", "", (None, None), (None, None), (None, None), None, "", 41, "the role that is with this", ""),
+    ("s05", "SEMANTIC", "und der ein", "", (None, 2000), (100000, None), (1970, 2015), None, "311 31 3", 53, "", ""),
+    ("s06", "REASONING", "le les eau ment", "nation_12", (4990, None), (400000, None), (2020, None), False, "33", 67, "", ""),
+    ("s07", "STRUCTURED", "thing with", "nation_5", (4990, 4995), (450000, None), (2021, 2022), True, "31", 79, "", ""),
+    ("s08", "SEMANTIC", "zzqx", "nation_2 nation_4", (None, None), (None, None), (None, None), None, "", 83, "", ""),
 )
 SPEC_SCHEMA = "query_id string, complexity string, keywords array<string>, role_statement string, ideal_profile string, countries array<string>, employees_min double, employees_max double, revenue_min double, revenue_max double, founded_min double, founded_max double, want_public boolean, prefixes array<string>, vec_id long"
 
 
 def specs(spark: SparkSession) -> DataFrame:
     number = lambda x: None if x is None else float(x)
-    rows = [(q, c, kw.split(), "", "", co.split(), *map(number, (*e, *r, *f)), p, pre.split(), v) for q, c, kw, co, e, r, f, p, pre, v in SPECS]
+    rows = [(q, c, kw.split(), role, ideal, co.split(), *map(number, (*e, *r, *f)), p, pre.split(), v) for q, c, kw, co, e, r, f, p, pre, v, role, ideal in SPECS]
     return spark.createDataFrame(rows, SPEC_SCHEMA)
 
 

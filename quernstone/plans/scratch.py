@@ -42,4 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``written`` gave, of which nothing is read any more: what was made of them is written itself."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path is not None:
+            sc = df.sparkSession.sparkContext
+            jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
