@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Config:
+    # The published defaults.
     shortlist: dict[str, int] = field(default_factory=lambda: {"STRUCTURED": 30, "SEMANTIC": 55, "REASONING": 80})
     default_shortlist: int = 55
     rrf_k: int = 60
@@ -27,6 +28,15 @@ class Config:
     fallback: int = 10
     embed_chars: int = 8000
     embed_batch: int = 25
+    embed_dimension: int = 768
+    # How a connector treats a service that fails or throttles.
+    max_concurrency: int = 4
+    max_retries: int = 5
+    backoff_base: float = 1.8
+    cooldown: float = 600.0
+    generate_per_minute: int = 15
+    embed_per_minute: int = 100
+    use_cache: bool = True
 
     @property
     def max_shortlist(self) -> int:

@@ -58,3 +58,33 @@ class ResultCache:
         target = self.path if namespace is None else f"{self.path}/ns={namespace}"
         path = self.spark._jvm.org.apache.hadoop.fs.Path(target)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def delta(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Per model, what now(model, calls, prompt_tokens, output_tokens, cost) has more than before; models without a change go."""
+    figures = ("calls", "prompt_tokens", "output_tokens", "cost")
+    old = before.select("model", *[F.col(c).alias(f"_{c}") for c in figures])
+    met = now.join(old, "model", "left")
+    return met.select("model", *[(F.col(c) - F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in figures]).where("calls <> 0")
+
+
+def merge(*parts: DataFrame) -> DataFrame:
+    """Sums per model over several usages."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("model").agg(*[F.sum(c).alias(c) for c in ("calls", "prompt_tokens", "output_tokens", "cost")])
+
+
+def funnel(queries: DataFrame, database: int, kept: DataFrame, listed: DataFrame, judged: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Per query: database, after_filter, relaxed, shortlist, escalated, returned, qualified; 0 where a stage has no row."""
+    count = lambda df, name, *more: df.groupBy("query_id").agg(F.count(F.lit(1)).alias(name), *more)
+    out = queries.select("query_id").withColumn("database", F.lit(database).cast("long"))
+    for part in (
+        count(kept, "after_filter", F.max(F.col("relaxed").cast("int")).alias("relaxed")),
+        count(listed, "shortlist"),
+        judged.groupBy("query_id").agg(F.count_if("escalated").alias("escalated")),
+        count(ranked, "returned", F.count_if(F.col("verdict") == "QUALIFIED").alias("qualified")),
+    ):
+        out = out.join(part, "query_id", "left")
+    return out.fillna(0)
