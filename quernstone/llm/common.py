@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quernstone.functions.windows import running_sum
-from quernstone.plans.scratch import scratch_dir, written
+from quernstone.plans.scratch import forget, scratch_dir, written
 
 #: A key is hot when it has more than 1/HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1000
@@ -14,13 +15,20 @@ HOT_SHARE = 1000
 #: Up to this number of row numbers (8 bytes each) a list of them is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-__all__ = ["HOT_SHARE", "free_name", "join_counted", "join_rows", "numbered", "running_sum", "scratch_dir", "table", "word_count", "written"]
+__all__ = ["HOT_SHARE", "forget", "free_name", "integer_ids", "join_counted", "join_rows", "numbered", "running_sum", "scratch_dir", "table", "word_count", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def integer_ids(docs: DataFrame, id_col: str) -> None:
+    """Raises a TypeError unless id_col holds integers: smallest ids are compared as numbers."""
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, or what comes of it by underscores so that no column is named like it (case does not matter)."""
     taken = {c.lower() for c in columns}
@@ -29,9 +37,13 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, as a written table (so that it never changes), and that column's name."""
+def numbered(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a number for each row, and that column's name: its id where no id is null or repeated, else one that is written
+    with the rows, so that it never changes."""
     column = free_name(docs.columns, "_row")
+    counts = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    if not counts.where((F.col("n") > 1) | F.col(id_col).isNull()).limit(1).count():
+        return docs.withColumn(column, F.col(id_col).cast("long")), column
     return written(docs.withColumn(column, F.monotonically_increasing_id()), "numbered"), column
 
 
