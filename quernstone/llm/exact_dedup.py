@@ -16,13 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import join_counted, written
+from quernstone.llm.common import integer_ids, join_counted, written
 
 #: Rows of a memtable before it is flushed.
 MEMTABLE_ROWS = 1 << 17
 #: Rows of a shard that compaction aims at; shards are prefixes of the digest.
 SHARD_ROWS = 200_000
 MAX_SHARD_BITS = 16
+#: Up to this number of digests (32 bytes each) the hits are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_HITS = 200_000
 NO_ID = np.iinfo(np.int64).max
 
 RUNS = "shard int, digests binary, ids binary, copies binary, filter binary"
@@ -127,19 +129,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows with equal normalised texts form a group; null counts as the empty text. The smallest id stays; a null id is larger
     than any other, so keep_id is null only where no row of the group has an id. Repeated rows each count, and those that
-    carry the smallest id are all kept. No rows give no rows. Other columns are not read.
+    carry the smallest id are all kept. No rows give no rows. Ids are integers (other types raise a TypeError). Other columns
+    are not read.
     """
+    integer_ids(docs, id_col)
     base = written(docs.select(F.col(id_col).cast("long").alias(id_col), digest(normalised(F.col(text_col))).alias("digest")), "digests")
     total = base.count()
     shard_bits = min(MAX_SHARD_BITS, max(3, (total // SHARD_ROWS).bit_length()))
     index = written(compact(flush_runs(base, shard_bits, memtable_rows)), "index")
     hits = index.where("copies > 1")
-    # Byte verification: of a group whose texts are all the same, the least and the greatest are equal. Both are combined
-    # before the shuffle, so a hot group sends one row per task.
+    # Byte verification of the hits: of a group whose texts are all the same, the least and the greatest are equal. Both are
+    # combined before the shuffle, so a hot group sends one row per task; texts without a hit are not shuffled.
     keyed = docs.select(F.col(id_col).cast("long").alias(id_col), normalised(F.col(text_col)).alias("_text")).withColumn("digest", digest(F.col("_text")))
-    differing = (
-        keyed.groupBy("digest").agg(F.min("_text").alias("_least"), F.max("_text").alias("_most")).where(F.col("_least") != F.col("_most")).select("digest")
-    )
+    if hits.count() <= BROADCAST_HITS:
+        wanted = keyed.join(F.broadcast(hits.select("digest")), "digest", "left_semi")
+    else:
+        wanted = join_counted(keyed, hits.select("digest", "copies"), "digest", "copies", total, "inner")
+    differing = wanted.groupBy("digest").agg(F.min("_text").alias("_least"), F.max("_text").alias("_most")).where(F.col("_least") != F.col("_most")).select("digest")
     differing = written(differing, "differing")
     good = hits.join(differing, "digest", "left_anti") if differing.limit(1).count() else hits
     rows = base
