@@ -86,4 +86,52 @@ SELECT conv_id, CAST(place // 256 AS BIGINT) AS part, any_value(k.n) AS n_turns,
 FROM p JOIN k USING (conv_id) GROUP BY conv_id, place // 256
 """
 
-ORACLES = {"op5_chat_format": OP5, "op3_decontaminate": OP3, "op4_mix_sources": OP4, "op10_exact_dedup": OP10}
+OP1 = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text <> ''
+), l AS (
+  SELECT doc_id, text, pos, regexp_extract_all(lines[pos + 1], '[^\x20\x09-\x0D]+') AS raw FROM (SELECT *, unnest(range(len(lines))) AS pos FROM d)
+), k AS (
+  SELECT doc_id, text, pos, len(raw) AS n, len(raw) // 5 AS w,
+    CASE WHEN len(raw) >= 5 THEN list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE raw END AS tok
+  FROM l WHERE len(raw) > 0
+), f AS (
+  SELECT doc_id, text, pos, n, w, tok,
+    unnest(CASE WHEN n >= 5 THEN list_distinct(list_concat(range(3, n - w + 1, greatest(1, w // 2)), [n - w, -1])) ELSE [-1] END) AS field
+  FROM k
+), t AS (
+  SELECT doc_id, text, pos, field, n || ' ' || field || ' ' || CASE WHEN field < 0 THEN array_to_string(tok, ' ')
+    ELSE array_to_string(tok[1 : field], ' ') || chr(10) || array_to_string(tok[field + w + 1 : n], ' ') END AS template
+  FROM f
+), r AS (
+  SELECT template, count(*) AS lines, arg_min(text, doc_id) AS keeper FROM t GROUP BY template HAVING min(text) <> max(text)
+), b AS (
+  SELECT doc_id, pos, t.text <> arg_max(keeper, (lines, -field)) AS dropped FROM t JOIN r USING (template) GROUP BY doc_id, pos, t.text
+), g AS (
+  SELECT doc_id, count(*) AS n, list(pos) AS gone FROM b WHERE dropped GROUP BY doc_id
+)
+SELECT doc_id, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END AS BIGINT) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_dropped,
+  CASE WHEN g.n IS NULL THEN text ELSE coalesce(array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda p: NOT list_contains(gone, p)), lambda p: string_split(text, chr(10))[p + 1]), chr(10)), '') END AS text
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b USING (s) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reach AS (
+  SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id, coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLES = {"op7_near_dedup": OP7, "op1_line_dedup": OP1, "op5_chat_format": OP5, "op3_decontaminate": OP3, "op4_mix_sources": OP4, "op10_exact_dedup": OP10}
