@@ -5,10 +5,10 @@ are compared one after another, and the pair is pruned as soon as the posterior
 threshold falls below MISS. Survivors are verified on full shingle sets.
 
 A bucket never emits its pairs. In each round a document proposes one partner from another component that shares a bucket
-with it; verified links merge components, and buckets that lie in one component drop out. Documents that still share a bucket
-with another component form residual clusters. These are dealt in blocks of bounded size, each block meets each other block of
-its cluster in one task, and only links come out: pairs within a component are skipped, all others are pruned and verified, so
-no link between candidates is lost.
+with it; verified links merge components, and buckets that lie in one component drop out. The documents of each bucket that
+still holds several components are dealt in blocks of bounded size, and each block meets each other block of its bucket in one
+task. There pairs of different components are pruned by their signatures, in the first of the buckets that both share; only
+documents that keep a partner fetch their sets, and only verified links come out. So no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quernstone.llm.common import join_counted, written
+from quernstone.llm.common import forget, integer_ids, join_counted, written
 from quernstone.llm.components import connected
 from quernstone.llm.words import NONSPACE, slices, word_parts
 
@@ -187,39 +187,46 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
 def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """node, component of the representatives that are linked with another; reps(id, bands, sketch), unique by id."""
     spark = docs.sparkSession
+    none = spark.createDataFrame([], "node long, component long")
     flat = reps.select("id", F.explode("bands").alias("key"))
-    in_order = Window.partitionBy("key").orderBy("id")
-    both = flat.select("key", "id", F.first("id").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lead("id").over(in_order).alias("next"))
     # Buckets of one document drop out.
-    buckets = written(both.where("first <> id OR next IS NOT NULL").select("key", "id", "first"), "buckets")
+    shared = written(flat.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
+    total = shared.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    if not total:
+        return none
+    buckets = written(join_counted(flat, shared, "key", "members", int(total), "inner").select("key", "id", "first"), "buckets")
     ids = written(buckets.select("id").distinct(), "ids")
-    if not ids.limit(1).count():
-        return spark.createDataFrame([], "node long, component long")
     sketches = written(reps.select("id", "sketch").join(ids, "id", "left_semi"), "sketches")
     sets = written(_sets(docs, ids, id_col, text_col, width).dropDuplicates(["id"]), "sets")
     ordered = lambda p: p.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b"))
 
-    def unresolved(found: DataFrame | None) -> DataFrame:
-        """Rows of buckets whose documents are in several components."""
-        if found is None:
-            return buckets.select("key", "id", F.col("id").alias("component"), "first")
-        rows = buckets.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        split = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        return rows.join(split, "key", "left_semi")
+    def unresolved(found: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame, int]:
+        """Rows (key, id, component) of buckets whose documents are in several components, and of each such bucket a document of
+        either of two components, and its members."""
+        rows = buckets.select("key", "id", F.col("id").alias("component"))
+        if found is not None:
+            rows = buckets.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = written(rows, "rows")
+        one = F.struct(F.xxhash64("component", F.lit(k)).alias("h"), "component", "id")
+        ends = rows.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.count(F.lit(1)).alias("members")).where("x.component <> y.component")
+        ends = written(ends, "ends")
+        return rows, ends, int(ends.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
 
     tested, links, found = None, None, None
+    scratch = [shared, buckets, ids, sketches, sets]
     for k in range(ROUNDS):
-        rows = unresolved(found)
         if k == 0:
-            proposed = rows.where("first <> id").groupBy("id").agg(F.min("first").alias("mate"))
+            proposed = buckets.where("first <> id").groupBy("id").agg(F.min("first").alias("mate"))
         else:
-            w = Window.partitionBy("key").orderBy(F.xxhash64("id", F.lit(k)), "id")
-            around = F.struct("id", "component")
-            near = rows.select("id", "component", F.lag(around).over(w).alias("_x"), F.first(around).over(w).alias("_y"))
-            near = near.select("id", "component", F.explode(F.array("_x", "_y")).alias("other"))
-            near = near.where("other.id IS NOT NULL AND other.component <> component").select("id", F.col("other.id").alias("mate"))
+            rows, ends, members = unresolved(found, k)
+            scratch += [rows, ends]
+            if not members:
+                forget(*scratch)
+                return found if found is not None else none
+            met = join_counted(rows, ends, "key", "members", members, "inner")
+            near = met.select("id", F.when(F.col("x.component") != F.col("component"), F.col("x.id")).otherwise(F.col("y.id")).alias("mate"))
             both_ways = tested.select(F.col("a").alias("id"), F.col("b").alias("mate")).unionByName(tested.select(F.col("b").alias("id"), F.col("a").alias("mate")))
-            near = near.join(both_ways, ["id", "mate"], "left_anti")
+            near = near.distinct().join(both_ways, ["id", "mate"], "left_anti")
             proposed = near.groupBy("id").agg(F.min_by("mate", F.xxhash64("id", "mate", F.lit(k))).alias("mate"))
         pairs = written(ordered(proposed).distinct(), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -227,42 +234,69 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = written(connected(links), "components")
-    rows = written(unresolved(found).select("key", "id", "component"), "unresolved")
-    if rows.limit(1).count():
-        new = written(_residual(rows, sketches, sets, percent), "residual")
+    rows, ends, members = unresolved(found, ROUNDS)
+    scratch += [rows, ends]
+    if members:
+        new = written(_residual(join_counted(rows, ends.select("key", "members"), "key", "members", members, "inner"), sketches, sets, percent), "residual")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = written(connected(links), "components")
-    return found if found is not None else spark.createDataFrame([], "node long, component long")
+    forget(*scratch)
+    return found if found is not None else none
+
+
+def _candidates(pdf: pd.DataFrame, needed: list[tuple[int, int]]):
+    """Row i and later rows j of its bucket, in another component (and another block), that the signatures do not rule out and
+    that share no earlier bucket with it. pdf is sorted by key and id."""
+    key, component, block = (pdf[c].to_numpy() for c in ("key", "component", "block"))
+    keys, sketch = pdf["keys"].tolist(), np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, HASHES)
+    # A group is a pack of small buckets, or two blocks of one bucket; the same block alone when it meets itself.
+    ends, two = np.searchsorted(key, key, "right"), key[0] == key[-1] and block.min() != block.max()
+    for i in range(len(key)):
+        js = np.arange(i + 1, ends[i])
+        js = js[component[js] != component[i]]
+        if two:
+            js = js[block[js] != block[i]]
+        matches, at = np.zeros(len(js), np.int64), 0
+        for n, least in needed:
+            if not len(js):
+                break
+            matches = matches + (sketch[js, at:n] == sketch[i, at:n]).sum(axis=1)
+            alive = matches >= least
+            js, matches, at = js[alive], matches[alive], n
+        js = [j for j in js.tolist() if np.intersect1d(keys[i], keys[j])[0] == key[i]]
+        if js:
+            yield i, js
 
 
 def _residual(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links a, b between components of rows(key, id, component) that share a bucket, directly or over others."""
-    firsts = rows.groupBy("key").agg(F.min("id").alias("b"))
-    clusters = connected(rows.join(firsts, "key").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    members = written(rows.select("id", "component").distinct().join(clusters, "id"), "members")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    packs = max(1, members.count() // BLOCK)
-    dealt = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(sketches, "id").join(sets, "id").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # Clusters of one block share tasks; of larger ones each pair of blocks is a group.
+    """Links a, b between components of rows(key, id, component, members) that share a bucket."""
+    keys = rows.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # BANDS of them at most
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    packs = max(1, rows.count() // BLOCK)
+    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(keys.join(sketches, "id"), "id").withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Buckets of one block share tasks; of larger ones each pair of blocks is a group.
     one = F.col("blocks") == 1
-    group = F.struct(
-        F.when(one, F.lit(None)).otherwise(F.col("cluster")).alias("cluster"),
-        F.when(one, F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int")).otherwise(F.least("block", "_with")).alias("x"),
+    dealt = dealt.select(
+        F.when(~one, F.col("key")).alias("g"),
+        F.when(one, F.pmod(F.xxhash64("key"), F.lit(packs)).cast("int")).otherwise(F.least("block", "_with")).alias("x"),
         F.when(one, F.lit(-1)).otherwise(F.greatest("block", "_with")).alias("y"),
-    )
+        "key", "id", "component", "block", "keys", "sketch",
+    )
+    group = ["g", "x", "y"]
+    dealt = written(dealt, "dealt")
     needed = least_matches(percent)
 
+    def alive(pdf):
+        pdf = pdf.sort_values(["key", "id"], ignore_index=True)
+        kept = sorted({k for i, js in _candidates(pdf, needed) for k in (i, *js)})
+        return pdf.loc[kept, ["g", "x", "y", "key", "id"]]
+
     def links(pdf):
-        pdf = pdf.sort_values(["cluster", "id"]).reset_index(drop=True)
-        ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
-        cluster = np.unique(pdf["cluster"].to_numpy(), return_inverse=True)[1]
-        component = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, HASHES)
+        pdf = pdf.sort_values(["key", "id"], ignore_index=True)
+        ids, component = pdf["id"].to_numpy(), np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
         shingles = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        size = np.array([len(x) for x in shingles])
-        two = len(set(block.tolist())) > 1 and (cluster == cluster[0]).all()
         root = list(range(int(component.max()) + 1))
 
         def find(c: int) -> int:
@@ -271,28 +305,23 @@ def _residual(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
                 c = root[c]
             return c
 
-        out, ends = [], np.searchsorted(cluster, cluster, "right")
-        for i in range(len(ids)):
-            js = np.arange(i + 1, ends[i])
-            js = js[component[js] != component[i]]
-            if two:
-                js = js[block[js] != block[i]]
-            js = js[np.minimum(size[js], size[i]) * 100 >= percent * np.maximum(size[js], size[i])]
-            matches, at = np.zeros(len(js), np.int64), 0
-            for n, least in needed:
-                matches = matches + (sketch[js, at:n] == sketch[i, at:n]).sum(axis=1)
-                alive = matches >= least
-                js, matches, at = js[alive], matches[alive], n
-            for j in js.tolist():
-                if find(component[i]) == find(component[j]):
+        out = []
+        for i, js in _candidates(pdf, needed):
+            for j in js:
+                one, other = find(component[i]), find(component[j])
+                a, b = shingles[i], shingles[j]
+                if one == other or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
                     continue
-                both = len(np.intersect1d(shingles[i], shingles[j], assume_unique=True))
-                if 100 * both >= percent * (size[i] + size[j] - both):
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= percent * (len(a) + len(b) - both):
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                    root[find(component[i])] = find(component[j])
+                    root[one] = other
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return dealt.withColumn("_group", group).select("_group", "id", "component", "cluster", "block", "sketch", "shingles").groupBy("_group").applyInPandas(links, "a long, b long").distinct()
+    kept = written(dealt.groupBy(*group).applyInPandas(alive, "g long, x int, y int, key long, id long"), "alive")
+    # x and y of a group are never null; its key may be.
+    again = dealt.join(kept.withColumnRenamed("g", "_g"), (F.col("g").eqNullSafe(F.col("_g"))) & (dealt.x == kept.x) & (dealt.y == kept.y) & (dealt.key == kept.key) & (dealt.id == kept.id), "left_semi")
+    return again.join(sets, "id").groupBy(*group).applyInPandas(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -301,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when 100 * intersection >= percent * union of their sets of word shingles; a text of fewer words is one
     shingle as a whole. Texts without words have an empty set and no link. Equal sets are linked whatever their ids; rows
     without an id take part in that only, and a component of such rows alone is null. Repeated rows give repeated results,
-    each kept if its id is the component's. Other columns are not read.
+    each kept if its id is the component's. Ids are integers (other types raise a TypeError). Other columns are not read.
     """
     out = _components(docs, id_col, text_col, width, percent, None)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -319,6 +348,7 @@ def representatives(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, row_col: str | None) -> DataFrame:
     """id, n, digest, row, component_id of every row."""
+    integer_ids(docs, id_col)
     base = written(_sketches(docs, id_col, text_col, width, row_col), "signatures")
     narrow = base.select("id", "n", "digest", "row")
     groups = narrow.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
