@@ -105,11 +105,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = training_rows(docs, labels, label_col, MODULUS, HELD_OUT, id_col, text_col, rows)
 
     def extract(batches):
-        for batch in slices(batches, 2):
-            got = [features(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float64()))], ["id", "y", "index", "value"])
+        for batch in slices(batches, 1):
+            got = [features(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([v.tobytes() for _, v in got], pa.binary())], ["id", "y", "index", "value"])
 
-    got = sorted(((r[0], r[1], np.array(r[2], np.int32), np.array(r[3])) for r in sample.mapInArrow(extract, "id string, y int, index array<int>, value array<double>").collect()), key=lambda r: r[:2])
+    rows_of = sample.mapInArrow(extract, "id string, y int, index binary, value binary").toLocalIterator()
+    got = sorted(((r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3])) for r in rows_of), key=lambda r: r[:2])
     return fit([(i, v) for _, _, i, v in got], np.array([float(y) for _, y, _, _ in got]))
 
 
@@ -132,7 +133,7 @@ def score(docs: DataFrame, model, id_col: str, text_col: str, modulus: int, held
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.5).
 
-    The model is fitted on at most `rows` labelled rows that are not held out; only the text enters a score. Null and empty
+    The model is fitted on at most `rows` labelled rows that are not held out (``labelled.bounded``); only the text enters a score. Null and empty
     texts are scored like any other, by zero statistics. Without labels the score is 0.5 for every row.
     """
     return score(docs, train(docs, labels, id_col, text_col, label_col, rows), id_col, text_col, MODULUS, HELD_OUT, THRESHOLD)

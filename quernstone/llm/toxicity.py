@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are words and word beginnings that mark labelled toxic rows, a general lexicon of insults, and patterns of shouting. A
-generative model (each voter fires with one rate in toxic and with another in clean texts) is estimated by EM over the votes
-on all documents, the labelled rows as its prior; correlations of voters within each class discount their evidence. A linear
-classifier is then trained on the model's posterior labels.
+generative model is estimated by EM over the votes on all documents: each voter fires with one rate in toxic and with another
+in clean texts, and these rates depend on whether the voter fires that it is most correlated with (a tree of pairs), so votes
+that repeat each other do not count twice. A linear classifier is then trained on the model's posterior labels of a sample of
+all documents, labelled or not.
 """
 
 from __future__ import annotations
@@ -18,20 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernstone.llm.common import written
-from quernstone.llm.labelled import SAMPLE_ROWS, STATS, structure, training_rows
+from quernstone.llm.labelled import SAMPLE_ROWS, STATS, bounded, structure, texts_of, training_rows
 from quernstone.llm.quality import score
 from quernstone.llm.words import ALNUM, NONSPACE, slices, words
 
 MODULUS, HELD_OUT, THRESHOLD = 4, 2, 0.3
-#: Voters of one bit each; terms of the linear classifier; least log-likelihood ratio of a term (about one chance in a million).
-MAX_VOTERS, MAX_TERMS, LEAST_G2 = 60, 1024, 24.0
-#: Byte lengths of word beginnings.
+#: Least log-likelihood ratio of a voter's term in labels, and of a term of the classifier in posterior labels.
+VOTER_G2, TERM_G2 = 12.0, 14.0
+#: Byte lengths of word beginnings; a character is never cut.
 PREFIXES = (3, 4, 5, 6, 7, 8, 9)
-EM_PASSES = 4
+EM_PASSES = 5
 #: Share of toxic rows among those that a voter's term marks.
 PRECISE = 0.8
 #: Voters that a labelled toxic row shall have, as far as there are terms.
-COVER = 4
+COVER = 8
 #: A general lexicon (fixed values).
 LEXICON = tuple("arschloch asshole bastard bitch clown connard crétin cretin disgusting dumbass dummkopf estúpido idiot idiota idiote imbécil imbécile imbecile loser moron pathetic scum stupid trash trottel worthless".split())
 
@@ -41,7 +42,7 @@ def parts(tokens: set[bytes]) -> set[bytes]:
     out = set(tokens)
     for w in tokens:
         for k in PREFIXES:
-            if len(w) > k:
+            if len(w) > k and w[k] & 0xC0 != 0x80:
                 out.add(w[:k] + b"*")
     return out
 
@@ -85,115 +86,183 @@ class Terms:
         return found
 
 
-def mine(rows: list[tuple[int, bytes]]) -> tuple[list[bytes], list[bytes]]:
-    """Voters' terms and the classifier's terms, from labels and distinct words (joined by spaces).
+def marking(rows: list[tuple[float, bytes]], least_g2: float) -> tuple[list[bytes], Counter, Counter]:
+    """Terms that mark toxic rows by least_g2 at least, the strongest first, and all terms' counts in clean and toxic rows.
 
-    Only terms of toxic rows can mark them; those are counted first, and clean rows then count what is left of them.
+    rows: posterior or label, and distinct words joined by spaces. Only terms of toxic rows can mark them; those are counted
+    first, and clean rows then count what is left of them, so no more is held.
     """
-    n = [sum(1 for y, _ in rows if y == k) for k in (0, 1)]
+    n = [sum(1 for y, _ in rows if (y > 0.5) == k) for k in (False, True)]
     by = (Counter(), Counter())
     for y, tokens in rows:
-        if y:
+        if y > 0.5:
             by[1].update(parts(set(tokens.split())))
-    least = next((b for b in range(1, n[1] + 1) if likelihood_ratio(0, b, *n) >= LEAST_G2), n[1] + 1)
+    least = next((b for b in range(1, n[1] + 1) if likelihood_ratio(0, b, *n) >= least_g2), n[1] + 1)
     by = (by[0], Counter({t: k for t, k in by[1].items() if k >= least}))
     for y, tokens in rows:
-        if not y:
+        if y <= 0.5:
             by[0].update(parts(set(tokens.split())) & by[1].keys())
     names = sorted(by[1])
     g = likelihood_ratio([by[0][t] for t in names], [by[1][t] for t in names], *n) if names else np.zeros(0)
-    order = sorted(np.flatnonzero(g >= LEAST_G2), key=lambda k: (-g[k], names[k]))
-    strong = [names[k] for k in order[:MAX_TERMS]]
-    # Voters cover every toxic row they can: each step takes the term that marks most rows which fewer than COVER voters
-    # mark, so that a language with few toxic rows gets voters of its own.
-    precise = lambda t: by[1][t] >= PRECISE * (by[0][t] + by[1][t])
-    marked: dict[bytes, list[int]] = {names[k]: [] for k in order if precise(names[k])}
-    toxic = [tokens for y, tokens in rows if y]
+    order = sorted(np.flatnonzero(g >= least_g2), key=lambda k: (-g[k], names[k]))
+    return [names[k] for k in order], *by
+
+
+def mine(rows: list[tuple[int, bytes]]) -> list[bytes]:
+    """Voters' terms from labels and distinct words (joined by spaces), then the general lexicon.
+
+    Voters cover every toxic row they can: each step takes the term that marks most rows which fewer than COVER voters mark, so
+    that a language with few toxic rows gets voters of its own. There are at most COVER voters a toxic row.
+    """
+    strong, clean, toxic_counts = marking(rows, VOTER_G2)
+    marked: dict[bytes, list[int]] = {t: [] for t in strong if toxic_counts[t] >= PRECISE * (clean[t] + toxic_counts[t])}
+    toxic = [tokens for y, tokens in rows if y > 0.5]
     for i, tokens in enumerate(toxic):
         for t in parts(set(tokens.split())) & marked.keys():
             marked[t].append(i)
     need, voters = np.full(len(toxic), COVER), []
-    while marked and len(voters) < MAX_VOTERS - N_PATTERNS - len(LEXICON):
+    while marked:
         best = max(marked, key=lambda t: (int((need[marked[t]] > 0).sum()), len(marked[t]), t))
         if not (need[marked[best]] > 0).any():
             break
         own = set(marked.pop(best))
         need[list(own)] -= 1
         voters.append(best)
-        # Terms that mark nearly the same rows would only repeat its votes.
-        marked = {t: r for t, r in marked.items() if len(own.intersection(r)) < 0.9 * len(own.union(r))}
-    seen = {w for _, tokens in rows for w in set(tokens.split()) & set(map(str.encode, LEXICON))}
-    general = [w.encode() for w in LEXICON if w.encode() not in voters]
-    return voters + general, list(dict.fromkeys([*strong, *[w for w in general if w in seen]]))
+        # Terms that mark nearly the same rows would only repeat its votes; so would those that no open row has.
+        marked = {t: r for t, r in marked.items() if (need[r] > 0).any() and len(own.intersection(r)) < 0.9 * len(own.union(r))}
+    return voters + [w for w in map(str.encode, LEXICON) if w not in voters]
 
 
 @dataclass
 class LabelModel:
-    """prior: share of toxic rows; rates[y, i]: how often voter i fires in class y; weights of a vote and of an abstention."""
+    """prior: share of toxic rows; parent: the voter that a voter depends on (itself: none); rates[y, p, i]: how often voter i
+    fires in class y when its parent does not (p = 0) and does (p = 1)."""
 
     prior: float
+    parent: np.ndarray
     rates: np.ndarray
-    trust: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        on, off = np.log(self.rates[1] / self.rates[0]), np.log((1 - self.rates[1]) / (1 - self.rates[0]))
-        logit = np.log(self.prior / (1 - self.prior)) + (votes * (on * self.trust) + (1 - votes) * (off * self.trust)).sum(axis=1)
+        on = np.log(self.rates[1] / self.rates[0])
+        off = np.log((1 - self.rates[1]) / (1 - self.rates[0]))
+        above = votes[:, self.parent]
+        above[:, self.parent == np.arange(len(self.parent))] = 0
+        # log-odds of every voter's vote, given its parent's
+        logit = np.log(self.prior / (1 - self.prior)) + off[0].sum()
+        logit = logit + votes @ (on[0] - off[0]) + above @ (off[1] - off[0]) + (votes * above) @ (on[1] - off[1] - on[0] + off[0])
         return 1 / (1 + np.exp(-np.clip(logit, -35, 35)))
 
 
-def unpacked(masks: np.ndarray, m: int) -> np.ndarray:
-    return (masks[:, None] >> np.arange(m) & 1).astype(float)
+def dense(fired: list[list[int]], m: int) -> np.ndarray:
+    out = np.zeros((len(fired), m))
+    for i, f in enumerate(fired):
+        out[i, f] = 1
+    return out
+
+
+#: Rows of votes that a task looks at together.
+VOTE_ROWS = 2048
+
+
+def sums_of(votes: np.ndarray, p: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """Of either class: rows, votes of each voter, of its parent, and of both, weighted by the posterior p."""
+    above = votes[:, parent]
+    out = []
+    for w in (1 - p, p):
+        out += [[w.sum()], w @ votes, w @ above, w @ (votes * above)]
+    return np.concatenate(out)
+
+
+def fitted(sums: np.ndarray, parent: np.ndarray, general: np.ndarray) -> LabelModel:
+    """The model of weighted counts, drawn towards the general rates by the weight of 10 rows."""
+    m = len(parent)
+    by = sums.reshape(2, 1 + 3 * m)
+    n, fired, above, both = by[:, :1], by[:, 1 : m + 1], by[:, m + 1 : 2 * m + 1], by[:, 2 * m + 1 :]
+    own = parent == np.arange(m)
+    alone = (fired + 10 * general) / (n + 10)
+    # A rate given the parent's vote is drawn towards the rate without it.
+    given = np.stack([(np.where(own, fired, fired - both) + 10 * alone) / (np.where(own, n, n - above) + 10), (both + 10 * alone) / (above + 10)], axis=1)
+    return LabelModel(float((n[1, 0] + 1) / (n.sum() + 10)), parent, np.clip(given, 1e-6, 1 - 1e-6))
 
 
 def estimate(votes: DataFrame, m: int, labelled: tuple[np.ndarray, np.ndarray]) -> LabelModel:
-    """EM over all rows of votes(mask long); each pass sends one number per task for each rate, and at last for each pair.
+    """EM over all rows of votes(fired array<int>); a pass sends 2 + 6 m numbers per task.
 
-    labelled: votes and labels whose counts are the prior of the rates.
+    labelled: votes and labels of rows that keep their label; they start the estimate and stay in it. First the tree of pairs is
+    found: a voter's parent is the earlier one with which its votes have most mutual information within the classes, from counts
+    of the pairs that fire together.
     """
     v, y = labelled
-    base = np.array([[1.0], [1.0]])
-    hits = np.stack([v[y == k].sum(axis=0) for k in (0, 1)]) if len(y) else np.zeros((2, m))
-    size = np.array([(y == k).sum() for k in (0, 1)], float)
-    general = np.array([0.002, 0.05])[:, None]
-    rates = (hits + 10 * general) / (size[:, None] + 10 * base)
-    model = LabelModel((size[1] + 1) / (size.sum() + 10), rates, np.ones(m))
-    for k in range(EM_PASSES):
-        pairs = k == EM_PASSES - 1
+    general = np.array([[0.002], [0.05]])
+    truth = (y > 0).astype(float)
+
+    def summed(model: LabelModel) -> np.ndarray:
         shared = pickle.dumps(model)
 
-        def run(batches, shared=shared, pairs=pairs):
-            own, sums = pickle.loads(shared), np.zeros(2 + 2 * m + (2 * m * m if pairs else 0))
+        def run(batches):
+            own, total = pickle.loads(shared), np.zeros(2 + 6 * m)
             for batch in batches:
-                x = unpacked(batch.column(0).to_numpy(zero_copy_only=False), m)
-                p = own.posterior(x)
-                part = [[(1 - p).sum(), p.sum()], (1 - p) @ x, p @ x]
-                if pairs:
-                    part += [((1 - p)[:, None] * x).T @ x, (p[:, None] * x).T @ x]
-                sums += np.concatenate([np.ravel(z) for z in part])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums)], ["k", "s"])
-
-        got = votes.mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s")).collect()
-        sums = np.zeros(2 + 2 * m + (2 * m * m if pairs else 0))
-        for i, s in got:
-            sums[i] = s
-        soft, fired = sums[:2], sums[2 : 2 + 2 * m].reshape(2, m)
-        # The labelled rows count as much as half of all rows at least, so that EM cannot turn the classes' meaning.
-        pull = max(1.0, soft.sum() / max(1.0, size.sum()))
-        rates = (fired + pull * hits + 10 * general) / (soft[:, None] + pull * size[:, None] + 10 * base)
-        model = LabelModel(float((soft[1] + pull * size[1] + 1) / (soft.sum() + pull * size.sum() + 10)), np.clip(rates, 1e-6, 1 - 1e-6), model.trust)
-        if pairs:
-            both = sums[2 + 2 * m :].reshape(2, m, m)
-            mean = fired / np.maximum(soft[:, None], 1)
-            cov = both / np.maximum(soft[:, None, None], 1) - mean[:, :, None] * mean[:, None, :]
-            sd = np.sqrt(np.maximum(cov[:, range(m), range(m)], 1e-9))
-            correlation = np.clip(cov / (sd[:, :, None] * sd[:, None, :]), 0, 1)
-            strongest = correlation.max(axis=0)
-            np.fill_diagonal(strongest, 0)
-            # A voter whose votes others repeat within a class counts as one of them.
-            model.trust = 1 / (1 + np.where(strongest > 0.5, strongest, 0).sum(axis=1))
+                for a in range(0, batch.num_rows, VOTE_ROWS):
+                    x = dense(batch.column(0).slice(a, VOTE_ROWS).to_pylist(), m)
+                    total += sums_of(x, own.posterior(x), own.parent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), pa.array(total)], ["k", "s"])
+
+        sums = np.zeros(2 + 6 * m)
+        for k, s in votes.mapInArrow(run, "k int, s double").groupBy("k").agg(F.sum("s")).collect():
+            sums[k] = s
+        return sums
+
+    alone = np.arange(m)
+    model = fitted(sums_of(v, truth, alone), alone, general)
+    parent = tree(pairs(votes, model), summed(model), m)
+    known = sums_of(v, truth, parent)
+    model = fitted(known, parent, general)
+    for _ in range(EM_PASSES):
+        model = fitted(summed(model) + known, parent, general)
     return model
 
 
+def pairs(votes: DataFrame, model: LabelModel) -> list[tuple[int, int, float, float]]:
+    """Voters i < j that fire together, and the weight of such rows in either class."""
+    shared, m = pickle.dumps(model), len(model.parent)
+
+    def run(batches):
+        own, both = pickle.loads(shared), {}
+        for batch in batches:
+            for a in range(0, batch.num_rows, VOTE_ROWS):
+                fired = batch.column(0).slice(a, VOTE_ROWS).to_pylist()
+                for f, p in zip(fired, own.posterior(dense(fired, m)).tolist()):
+                    f = sorted(f)
+                    for b in range(1, len(f)):
+                        for c in f[:b]:
+                            e = both.setdefault((c, f[b]), [0.0, 0.0])
+                            e[0] += 1 - p
+                            e[1] += p
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in both], pa.int32()), pa.array([k[1] for k in both], pa.int32()), *(pa.array([e[c] for e in both.values()], pa.float64()) for c in (0, 1))], ["i", "j", "s0", "s1"])
+
+    return [tuple(r) for r in votes.mapInArrow(run, "i int, j int, s0 double, s1 double").groupBy("i", "j").agg(F.sum("s0"), F.sum("s1")).collect()]
+
+
+def tree(pairs: list[tuple[int, int, float, float]], sums: np.ndarray, m: int) -> np.ndarray:
+    """Each voter's parent among the earlier ones: that of most mutual information within the classes, if positively related."""
+    by = sums.reshape(2, 1 + 3 * m)
+    total = by[:, 0].sum()
+    parent, best = np.arange(m), np.full(m, 0.001)
+    for i, j, *both in sorted(pairs):
+        info, lift = 0.0, 0.0
+        for c in (0, 1):
+            n, a, b, ab = by[c, 0], by[c, 1 + i], by[c, 1 + j], both[c]
+            if n <= 0:
+                continue
+            lift += ab - a * b / n
+            for joint, row, column in ((ab, a, b), (a - ab, a, n - b), (b - ab, n - a, b), (n - a - b + ab, n - a, n - b)):
+                if joint > 1e-9 and row > 1e-9 and column > 1e-9:
+                    info += joint / total * np.log(joint * n / (row * column))
+        if lift > 0 and info > best[j]:
+            parent[j], best[j] = i, info
+    return parent
+
+
 @dataclass
 class LinearClassifier:
     terms: Terms
@@ -205,15 +274,24 @@ class LinearClassifier:
         return 1 / (1 + np.exp(-np.clip(self.bias + raw, -35, 35)))
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def sparse(rows: list[set[int]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Row and column of the ones, and the number of rows."""
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array([k for r in rows for k in sorted(r)], np.int64), len(rows)
+
+
+def raw_scores(x: tuple[np.ndarray, np.ndarray, int], weights: np.ndarray) -> np.ndarray:
+    return np.bincount(x[0], weights[x[1]], x[2])
+
+
+def fit_linear(x: tuple[np.ndarray, np.ndarray, int], target: np.ndarray, size: int, steps: int = 300, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by full AdaGrad steps; both classes weigh the same in sum, up to tenfold."""
     share = np.clip(target.mean() if len(target) else 0.5, 1 / 11, 10 / 11)
     weight = np.where(target > 0.5, 0.5 / share, 0.5 / (1 - share))
-    w, b = np.zeros(x.shape[1]), 0.0
-    gw, gb = np.full(x.shape[1], 1e-8), 1e-8
+    w, b = np.zeros(size), 0.0
+    gw, gb = np.full(size, 1e-8), 1e-8
     for _ in range(steps if len(target) else 0):
-        e = (1 / (1 + np.exp(-np.clip(x @ w + b, -35, 35))) - target) * weight / len(target)
-        dw, db = x.T @ e + decay * w, e.sum()
+        e = (1 / (1 + np.exp(-np.clip(raw_scores(x, w) + b, -35, 35))) - target) * weight / len(target)
+        dw, db = np.bincount(x[1], e[x[0]], size) + decay * w, e.sum()
         gw, gb = gw + dw**2, gb + db**2
         w, b = w - rate * dw / np.sqrt(gw), b - rate * db / np.sqrt(gb)
     return w, float(b)
@@ -232,47 +310,47 @@ def best_cut(raw: np.ndarray, truth: np.ndarray) -> float:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
     """docs with held_out, score (0 to 1) and predicted (1 if score >= 0.3).
 
-    At most `rows` labelled rows that are not held out serve to find voters and to train the classifier; the label model sees
-    the votes on all rows. Only the text enters a score. Null and empty texts have no term and get the score of the bias.
-    Without labels the general lexicon alone decides.
+    Voters come from at most `rows` labelled rows that are not held out; the label model is estimated from the votes on all
+    rows; the classifier is trained on its posterior labels of at most `rows` of all documents and of the labelled ones, which
+    keep their label (both samples: ``labelled.bounded``). Only the text enters a score. Null and empty texts have no term and
+    get the score of the bias. Without labels the general lexicon alone decides.
     """
     sample = training_rows(docs, labels, label_col, MODULUS, HELD_OUT, id_col, text_col, rows)
+    every = bounded(texts_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col), rows)
 
     def extract(batches):
-        for batch in slices(batches, 2):
-            texts = batch.column(2).to_pylist()
+        for batch in slices(batches, 1):
+            texts = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(1), pa.array([b" ".join(sorted(set(words(t)))) for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))],
+                [batch.column(0).cast(pa.string()), batch.column(2), pa.array([b" ".join(sorted(set(words(t)))) for t in texts], pa.binary()), pa.array([patterns(t) for t in texts], pa.list_(pa.bool_()))],
                 ["id", "y", "tokens", "patterns"],
             )
 
-    got = sample.mapInArrow(extract, "id string, y int, tokens binary, patterns array<boolean>").collect()
-    got = sorted(((r[0], int(r[1] > 0), bytes(r[2]), r[3]) for r in got), key=lambda r: r[:2])
-    voters, terms = mine([(y, tokens) for _, y, tokens, _ in got])
+    both = sample.unionByName(every.join(sample.select("_id"), "_id", "left_anti").withColumn("y", F.lit(-1)))
+    held = both.mapInArrow(extract, "id string, y int, tokens binary, patterns array<boolean>").toLocalIterator()
+    got = sorted(((r[0], min(1, int(r[1])), bytes(r[2]), r[3]) for r in held), key=lambda r: r[:2])
+    truth = np.array([y for _, y, _, _ in got], int)
+    voters = mine([(y, tokens) for _, y, tokens, _ in got if y >= 0])
     lookup, m = Terms(voters), len(voters) + N_PATTERNS
 
-    def mask(tokens: set[bytes], fired: list[bool]) -> int:
-        return sum(1 << k for k in lookup.of(tokens)) | sum(1 << (len(voters) + k) for k, on in enumerate(fired) if on)
+    def fires(tokens: set[bytes], fired: list[bool]) -> list[int]:
+        return sorted(lookup.of(tokens)) + [len(voters) + k for k, on in enumerate(fired) if on]
 
     def vote(batches):
         for batch in slices(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([mask(set(words(t)), patterns(t)) for t in batch.column(0).to_pylist()], pa.int64())], ["mask"])
+            yield pa.RecordBatch.from_arrays([pa.array([fires(set(words(t)), patterns(t)) for t in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["fired"])
 
-    votes = written(docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(vote, "mask long"), "votes")
-    own = unpacked(np.array([mask(set(tokens.split()), fired) for _, _, tokens, fired in got], np.int64), m) if got else np.zeros((0, m))
-    model = estimate(votes, m, (own, np.array([y for _, y, _, _ in got])))
+    votes = written(docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(vote, "fired array<int>"), "votes")
+    own = dense([fires(set(tokens.split()), fired) for _, _, tokens, fired in got], m)
+    model = estimate(votes, m, (own[truth >= 0], truth[truth >= 0]))
 
+    posterior = np.where(truth < 0, model.posterior(own), truth)
+    terms, _, _ = marking([(p, tokens) for p, (_, _, tokens, _) in zip(posterior, got)], TERM_G2)
     if not terms:
-        terms = [w.encode() for w in LEXICON]
-    table = Terms(terms)
-    x = np.zeros((len(got), len(terms)))
-    for i, (_, _, tokens, _) in enumerate(got):
-        x[i, list(table.of(set(tokens.split())))] = 1
-    posterior = model.posterior(own)
-    if posterior.max(initial=0) > 0.5:
-        weights, bias = fit_linear(x, posterior)
-        truth = np.array([y for _, y, _, _ in got])
-        bias += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(x @ weights + bias, truth if truth.any() else posterior > 0.5)
-    else:
-        weights, bias = np.full(len(terms), 3.0), -3.0
+        table = Terms([w.encode() for w in LEXICON])
+        return score(docs, LinearClassifier(table, np.full(len(LEXICON), 3.0), -3.0), id_col, text_col, MODULUS, HELD_OUT, THRESHOLD)
+    table = Terms(list(dict.fromkeys([*terms, *voters])))
+    x = sparse([table.of(set(tokens.split())) for _, _, tokens, _ in got])
+    weights, bias = fit_linear(x, posterior, len(table.terms))
+    bias += np.log(THRESHOLD / (1 - THRESHOLD)) - best_cut(raw_scores(x, weights) + bias, posterior > 0.5)
     return score(docs, LinearClassifier(table, weights, bias), id_col, text_col, MODULUS, HELD_OUT, THRESHOLD)

@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm import exact_dedup, line_dedup, near_dedup
+from quernstone.llm import components, exact_dedup, line_dedup, near_dedup
 from quernstone.llm.components import connected
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ten", "ruf", "sab") for b in ("da", "ne", "pol", "x", "yy", "ogi", "ur")]
@@ -63,6 +63,8 @@ def test_near_duplicates_against_brute_force(spark, near, width):
 def test_residual_blocks_find_what_rounds_leave(spark, near, monkeypatch):
     monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    # Wide buckets, so that many pairs of unlike documents share one.
+    monkeypatch.setattr(near_dedup, "band_keys", lambda sig: np.where(np.arange(near_dedup.BANDS) < 3, sig[: near_dedup.BANDS] % 2, sig[: near_dedup.BANDS]).astype(np.int64) * 64 + np.arange(near_dedup.BANDS))
     got = near_dedup.near_duplicates(spark.createDataFrame(near, "doc_id long, text string"), width=4).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(near, 4)
 
@@ -87,7 +89,9 @@ def test_signature_estimates_similarity():
     assert abs((near_dedup.signature(a) == near_dedup.signature(b)).mean() - j) < 0.12
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_LINKS", few)
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
     got = {r.node: r.component for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -143,34 +147,27 @@ def test_compaction_keeps_the_smallest_id():
     assert sorted(zip(out["keep_id"], out["copies"])) == sorted((min(v), len(v)) for v in want.values())
 
 
-def lines_brute(rows):
-    """Templates by comparing all lines of a leaf in order of their key; a template keeps its first line's tokens."""
-    leaves = {}
+def lines_brute(rows, split=line_dedup.parsed):
+    """Every line against every template of its leaf, by tokens."""
+    lines, groups = [], {}
     for i, t in rows:
-        for pos, key, tokens in line_dedup.parsed((t or "").encode()):
-            leaf = (len(tokens), tuple(tokens[: line_dedup.LEAD]))
-            leaves.setdefault(leaf, {}).setdefault(key, (tokens, []))[1].append((i, t, pos))
+        for pos, _, tokens in split((t or "").encode()):
+            n, width = len(tokens), len(tokens) // 5
+            shapes = {(n, -1, tuple(tokens), ())}
+            if n >= 5:
+                starts = [*range(3, n - width + 1, max(1, width // 2)), n - width]
+                shapes |= {(n, a, tuple(tokens[:a]), tuple(tokens[a + width :])) for a in starts}
+            lines.append((i, t, pos, shapes))
+            for s in shapes:
+                groups.setdefault(s, []).append((i, line_dedup.text_hash(t.encode()), t))
+    recurring = {s: g for s, g in groups.items() if len({t for _, _, t in g}) > 1}
     dropped = set()
-    for lines in leaves.values():
-        templates = []
-        for key in sorted(lines):
-            tokens, where = lines[key]
-            best, most = None, -1
-            for t in templates:
-                same = sum(x == y and not v for x, y, v in zip(t[0], tokens, t[1]))
-                if same >= len(tokens) - int(len(tokens) * (1 - line_dedup.SIMILAR) + 1e-9) and same > most:
-                    best, most = t, same
-            if best is None:
-                best = (tokens, [False] * len(tokens), [])
-                templates.append(best)
-            else:
-                for k, (x, y) in enumerate(zip(best[0], tokens)):
-                    best[1][k] |= x != y
-            best[2].extend(where)
-        for _, _, where in templates:
-            if len({t for _, t, _ in where}) > 1:
-                first = min(where, key=lambda w: (w[0], line_dedup.text_hash(w[1].encode())))[1]
-                dropped |= {(i, pos) for i, t, pos in where if t != first}
+    for i, t, pos, shapes in lines:
+        own = [s for s in shapes if s in recurring]
+        if own:
+            best = max(own, key=lambda s: (len(recurring[s]), -s[1]))
+            if min(recurring[best])[2] != t:
+                dropped.add((i, pos))
     return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in dropped) if t is not None else None for i, t in rows}
 
 
@@ -201,6 +198,20 @@ def test_variable_fields_are_generalised(spark):
     assert got[2].text.startswith("kept")
 
 
+def test_lines_that_follow_no_common_template_stay(spark):
+    # The third words of the first two have hashes whose lower 16 bits are equal.
+    rows = [(1, "the quick brown wordqyo jumps high"), (2, "the quick brown wordtq jumps low"), (3, "Share this article\nown words of three"), (4, "Share this article\nother words of four")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == rows[1][1] and got[3] == rows[2][1] and got[4] == "other words of four"
+
+
+def test_ids_must_be_numbers(spark):
+    docs = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    for operator in (line_dedup.dedup_lines, near_dedup.near_duplicates, exact_dedup.exact_groups):
+        with pytest.raises(TypeError, match="integer"):
+            operator(docs)
+
+
 def own_lines(t):
     """Position, key, tokens by the rules as stated, without the operator's splitting."""
     for pos, line in enumerate(t.decode().split("\n")):
@@ -211,7 +222,7 @@ def own_lines(t):
             yield pos, xxhash.xxh3_128_digest(" ".join(tokens).encode()), tokens
 
 
-def test_line_dedup_of_short_lines_against_brute_force(spark, monkeypatch):
+def test_line_dedup_of_short_lines_against_brute_force(spark):
     rng = random.Random(12)
     short = [text(rng, n) for n in (1, 1, 2, 3, 4, 4, 5, 5, 5)] + ["All rights reserved.", "版权所有。", "Version 2", "Version 3", "12"]
     rows = []
@@ -221,8 +232,7 @@ def test_line_dedup_of_short_lines_against_brute_force(spark, monkeypatch):
         rows.append((i, "\n".join(lines)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
-    monkeypatch.setattr(line_dedup, "parsed", own_lines)
-    assert got == lines_brute(rows)
+    assert got == lines_brute(rows, own_lines)
     for line in ("All rights reserved.", "版权所有。", "Version 2", "Version 3", "12"):
         assert sum(line in [x.strip() for x in t.split("\n")] for _, t in rows) > 1
         assert sum(line in [x.strip() for x in t.split("\n")] for t in got.values()) == 1
