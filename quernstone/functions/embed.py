@@ -11,9 +11,12 @@ DIMENSION = 64
 
 
 def hashed(text: Column, dimension: int = DIMENSION) -> Column:
-    """Counts of tokens by hash cell, with a sign by another hash; tokens are counted once each before they are dealt."""
-    cells = F.transform(tokenize(text), lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dimension)))
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimension - 1)),
-        lambda k: (F.size(F.filter(cells, lambda c: c == k)) - F.size(F.filter(cells, lambda c: c == k + dimension))).cast("double"),
-    )
+    """Counts of tokens by hash cell, with a sign by another hash bit; a text's tokens are hashed once."""
+    cells = F.transform(tokenize(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % F.lit(2 * dimension)).cast("int"))
+
+    def counted(own: Column) -> Column:
+        sign = lambda x, k: F.when(x == k, 1).when(x == k + dimension, -1).otherwise(0)
+        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.aggregate(own, F.lit(0), lambda s, x: s + sign(x, k)).cast("double"))
+
+    # As the variable of a lambda the cells are worked out once, not once for each of the vector's places.
+    return F.element_at(F.transform(F.array(cells), counted), 1)

@@ -12,8 +12,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """v by its length; the zero vector stays zero."""
-    length = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(length, F.lit(1e-12)))
+    once = lambda c, use: F.element_at(F.transform(F.array(c), use), 1)  # noqa: E731  a lambda's variable is worked out once
+    scaled = lambda u, n: F.transform(u, lambda x: x.cast("double") / F.greatest(n, F.lit(1e-12)))
+    return once(v, lambda u: once(F.sqrt(dot(u, u)), lambda n: scaled(u, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

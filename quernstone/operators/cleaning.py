@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quernstone.functions import coerce, geo
+from quernstone.plans.scratch import written
 
 SCALARS = ("operational_name", "website", "year_founded", "country_code", "region_name", "town", "employee_count", "revenue", "primary_code", "description", "is_public")
+#: The fields that completeness counts.
+PRESENT = ("year_founded", "country_code", "employee_count", "revenue", "primary_code", "description", "is_public", "business_model", "core_offerings")
+#: Rows of a group that is folded by an aggregate; longer groups are folded row by row.
+FOLDED = 1000
 LISTS = ("secondary_codes", "business_model", "target_markets", "core_offerings")
 
 
@@ -47,7 +55,7 @@ def _missing(c: Column, kind: str) -> Column:
 
 
 def _present(row: Column, kinds: dict[str, str]) -> Column:
-    names = [c for c in ("year_founded", "country_code", "employee_count", "revenue", "primary_code", "description", "is_public", "business_model", "core_offerings") if c in kinds]
+    names = [c for c in PRESENT if c in kinds]
     return sum(((~_missing(row[c], kinds[c])).cast("int") for c in names), F.lit(0))
 
 
@@ -55,15 +63,20 @@ def dedupe(companies: DataFrame, id_col: str = "org_id") -> DataFrame:
     """One row per key, at the place of its first row, folded in order of id: the more complete row survives (the earlier at a
     tie) and takes what it lacks from the other; false and 0 are never overwritten. Rows without a key all stay.
 
-    Single rows, nearly all of them, skip the fold; groups are folded by an aggregate over their sorted rows. Ids become dense.
+    Keys are counted first, by themselves: single rows, nearly all of them, are not shuffled with their texts. Groups of up to
+    FOLDED rows are folded by an aggregate; longer ones, however long, row by row along sorted partitions. Ids become dense.
     """
     kinds = dict(companies.dtypes)
     fields = [c for c in (*SCALARS, *LISTS) if c in kinds]
     rest = [c for c in companies.columns if c not in fields and c != id_col]
-    keyed = companies.withColumn("_key", dedupe_key(F.col("website"), F.col("operational_name"), F.col("country_code")))
-    keyed = keyed.withColumn("_key", F.coalesce("_key", F.concat(F.lit("row:"), F.col(id_col).cast("string"))))
+    key = dedupe_key(F.col("website"), F.col("operational_name"), F.col("country_code"))
+    keyed = companies.withColumn("_key", key)
+    counts = keyed.select("_key").where("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counts = written(counts, "keys")
+    single = keyed.join(counts, "_key", "left_anti").select(*companies.columns, F.lit(0).alias("merged"))
+    several = keyed.join(counts, "_key")
     row = F.struct(F.col(id_col), *fields, *rest)
-    grouped = keyed.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("_pos"), row.alias("_row")))).alias("_rows"))
+    grouped = several.where(F.col("_n") <= FOLDED).groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("_pos"), row.alias("_row")))).alias("_rows"))
 
     def fold(old: Column, new: Column) -> Column:
         keeps = _present(old, kinds) >= _present(new, kinds)
@@ -74,8 +87,44 @@ def dedupe(companies: DataFrame, id_col: str = "org_id") -> DataFrame:
         return F.struct(old[id_col].alias(id_col), *filled, *[pick(c).alias(c) for c in rest])
 
     start = F.element_at("_rows", 1)["_row"]
-    merged = F.when(F.size("_rows") == 1, start).otherwise(F.aggregate(F.slice("_rows", 2, F.size("_rows")), start, lambda acc, x: fold(acc, x["_row"])))
-    return grouped.select(merged.alias("_m"), (F.size("_rows") - 1).alias("merged")).select("_m.*", "merged").select(*companies.columns, "merged")
+    merged = F.aggregate(F.slice("_rows", 2, F.size("_rows")), start, lambda acc, x: fold(acc, x["_row"]))
+    folded = grouped.select(merged.alias("_m"), (F.size("_rows") - 1).alias("merged")).select("_m.*", "merged").select(*companies.columns, "merged")
+    out = single.unionByName(folded)
+    if counts.where(F.col("_n") > FOLDED).limit(1).count():
+        out = out.unionByName(_fold_rows(several.where(F.col("_n") > FOLDED), companies, id_col, fields, kinds))
+    return out
+
+
+def _fold_rows(rows: DataFrame, companies: DataFrame, id_col: str, fields: list[str], kinds: dict[str, str]) -> DataFrame:
+    """The same fold for long groups: a task holds one merged row at a time."""
+    schema = T.StructType([*companies.schema.fields, T.StructField("merged", T.IntegerType())])
+    counted = [c for c in PRESENT if c in kinds]
+
+    def missing(value, kind: str) -> bool:
+        return value is None or (kind.startswith("array") and not len(value)) or (kind == "string" and value == "")
+
+    def run(batches):
+        held, key, extra, target = None, None, 0, to_arrow_schema(schema)
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                k = r.pop("_key")
+                if k != key:
+                    if held is not None:
+                        out.append(held | {"merged": extra})
+                    held, key, extra = r, k, 0
+                    continue
+                extra += 1
+                present = lambda x: sum(not missing(x[c], kinds[c]) for c in counted)
+                kept, other = (held, r) if present(held) >= present(r) else (r, held)
+                filled = {c: other[c] if missing(kept[c], kinds[c]) and not missing(other[c], kinds[c]) else kept[c] for c in fields}
+                held = kept | filled | {id_col: held[id_col]}
+            yield pa.RecordBatch.from_pylist(out, target)
+        if held is not None:
+            yield pa.RecordBatch.from_pylist([held | {"merged": extra}], target)
+
+    ordered = rows.select("_key", *companies.columns).repartition("_key").sortWithinPartitions("_key", id_col)
+    return ordered.mapInArrow(run, schema)
 
 
 def dense_ids(companies: DataFrame, id_col: str = "org_id", spread: int = 1 << 16) -> DataFrame:

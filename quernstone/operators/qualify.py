@@ -48,9 +48,9 @@ def adjudicate_by_rules(candidates: DataFrame, config: Config = Config()) -> Dat
 
 
 def adjudicate(candidates: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFrame], size: int, tier: str) -> DataFrame:
-    """query_id, org_id, verdict, confidence, reason, tier by a function of one batch of rows.
+    """query_id, org_id, verdict, confidence, reason, tier, met by a function of one batch of rows.
 
-    The function returns local_id, verdict, confidence and reason. Ids out of range are dropped, unknown verdicts count as
+    The function returns local_id, verdict, confidence, reason and, if it likes, met (a dict: criterion -> whether it is met). Ids out of range are dropped, unknown verdicts count as
     REJECTED, confidences are clamped, and a batch that fails becomes PARTIAL with confidence 0 and the tier "error".
     """
 
@@ -62,11 +62,12 @@ def adjudicate(candidates: DataFrame, judge: Callable[[pd.DataFrame], pd.DataFra
             out["verdict"] = verdict.where(verdict.isin(VERDICTS), "REJECTED")
             out["confidence"] = pd.to_numeric(out["confidence"], errors="coerce").fillna(0.0).clip(0, 1)
             out["reason"], out["tier"] = out["reason"].astype(str).str.strip(), tier
+            out["met"] = out["met"] if "met" in out else None
         except Exception as e:  # noqa: BLE001  one failed batch must not end the run
-            out = pdf[["query_id", "org_id"]].assign(verdict="PARTIAL", confidence=0.0, reason=f"adjudication failed: {type(e).__name__}", tier="error")
-        return out[["query_id", "org_id", "verdict", "confidence", "reason", "tier"]]
+            out = pdf[["query_id", "org_id"]].assign(verdict="PARTIAL", confidence=0.0, reason=f"adjudication failed: {type(e).__name__}", tier="error", met=None)
+        return out[["query_id", "org_id", "verdict", "confidence", "reason", "tier", "met"]]
 
-    return batches(candidates, size).groupBy("query_id", "batch").applyInPandas(run, "query_id string, org_id long, verdict string, confidence double, reason string, tier string")
+    return batches(candidates, size).groupBy("query_id", "batch").applyInPandas(run, "query_id string, org_id long, verdict string, confidence double, reason string, tier string, met map<string,boolean>")
 
 
 def first_opinion() -> tuple[Column, Column]:

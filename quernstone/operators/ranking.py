@@ -28,6 +28,15 @@ def criteria_satisfaction(met: Column, criteria: Column) -> Column:
     return F.when(asked & (sums["all"] > 0), sums["met"] / sums["all"])
 
 
+def with_satisfaction(judged: DataFrame, specs: DataFrame) -> DataFrame:
+    """judged with satisfaction from its met, by the criteria of specs (a stated set); null where either is lacking."""
+    if "met" not in judged.columns or "criteria" not in specs.columns:
+        return judged.withColumn("satisfaction", F.lit(None).cast("double"))
+    rubric = specs.select("query_id", F.transform("criteria", lambda c: F.struct(c["name"].alias("name"), c["weight"].alias("weight"))).alias("_criteria"))
+    met = judged.join(F.broadcast(rubric), "query_id", "left")
+    return met.withColumn("satisfaction", criteria_satisfaction(F.col("met"), F.col("_criteria"))).drop("_criteria")
+
+
 def score(norm: Column, satisfaction: Column, config: Config = Config()) -> Column:
     """On rows with verdict, confidence, unknown, escalated."""
     clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
@@ -41,7 +50,8 @@ def score(norm: Column, satisfaction: Column, config: Config = Config()) -> Colu
 
 def with_verdicts(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """candidates with verdict, confidence, reason, tier, escalated; one that got no verdict is PARTIAL at 0, tier "missing"."""
-    got = candidates.join(verdicts.select("query_id", "org_id", "verdict", "confidence", "reason", "tier", "escalated"), ["query_id", "org_id"], "left")
+    more = ["met"] if "met" in verdicts.columns else []
+    got = candidates.join(verdicts.select("query_id", "org_id", "verdict", "confidence", "reason", "tier", "escalated", *more), ["query_id", "org_id"], "left")
     missing = {"verdict": F.lit("PARTIAL"), "confidence": F.lit(0.0), "reason": F.lit("no verdict returned"), "tier": F.lit("missing"), "escalated": F.lit(False)}
     return got.withColumns({c: F.coalesce(F.col(c), default) for c, default in missing.items()})
 

@@ -67,8 +67,8 @@ def parse_verdicts(answers: DataFrame, members: DataFrame, specs: DataFrame, tie
 def parse_grades(answers: DataFrame, members: DataFrame) -> DataFrame:
     """query_id, org_id, grade (0 to 3), justification of the members that were graded; unreadable grades are left out."""
     grade = F.coalesce(_field("grade"), F.lit("0")).try_cast("double").try_cast("int")
-    met = members.join(items(answers, "grades"), ["query_id", "batch", "local_id"]).withColumn("grade", F.least(F.lit(3), F.greatest(F.lit(0), grade)))
-    return met.where("grade IS NOT NULL").select("query_id", "org_id", "grade", F.trim(F.coalesce(_field("justification"), F.lit(""))).alias("justification"))
+    met = members.join(items(answers, "grades"), ["query_id", "batch", "local_id"]).withColumn("_grade", grade).where("_grade IS NOT NULL")
+    return met.select("query_id", "org_id", F.least(F.lit(3), F.greatest(F.lit(0), F.col("_grade"))).alias("grade"), F.trim(F.coalesce(_field("justification"), F.lit(""))).alias("justification"))
 
 
 def parse_matches(answers: DataFrame) -> DataFrame:

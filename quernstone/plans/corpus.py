@@ -24,17 +24,60 @@ def load(spark: SparkSession, path: str, deduplicate: bool = True) -> DataFrame:
     return companies
 
 
-def engine(companies: DataFrame, embedder: Callable = embedders.hashed, config=None) -> Engine:
-    ready = companies.withColumn("document", text.company_document()).withColumn("embedding", l2_normalise(embedder(F.substring("document", 1, 8000))))
+def engine(companies: DataFrame, embedder: Callable = embedders.hashed, config=None, store: str | None = None, model: str = "hashed", rebuild: bool = False) -> Engine:
+    """The engine over companies. With a store (a folder) embeddings are kept there and only new or changed texts are embedded."""
+    ready = companies.withColumn("document", text.company_document())
+    if store is None:
+        ready = ready.withColumn("embedding", l2_normalise(embedder(F.substring("document", 1, 8000))))
+    else:
+        embed_corpus(ready.select("org_id", "document"), store, embedder, model, rebuild=rebuild)
+        ready = with_embeddings(ready, store, model)
     ready = written(ready, "corpus")
     return Engine(ready) if config is None else Engine(ready, config)
 
 
+#: Texts that are embedded and appended together: what an interrupted run has bought stays.
+WAVE_ROWS = 100_000
+
+
+def embed_corpus(documents: DataFrame, store: str, embedder: Callable, model: str, dimension: int = embedders.DIMENSION, chars: int = 8000, rebuild: bool = False, wave_rows: int = WAVE_ROWS) -> dict[str, int]:
+    """Embeds the texts of documents(org_id, document) that the store lacks; hits and misses. rebuild takes all for misses.
+
+    Texts are known by fingerprint (of text, model and dimension), so equal texts are embedded once. Misses go in waves by
+    fingerprint, each appended when it is done.
+    """
+    spark = documents.sparkSession
+    marked = documents.select(profiles.embedding_fingerprint(F.col("document"), model, dimension).alias("fingerprint"), F.substring("document", 1, chars).alias("text"))
+    texts = written(marked.dropDuplicates(["fingerprint"]), "texts")
+    known = profiles.stored_embeddings(spark, store)
+    missing = texts if rebuild else texts.join(known.select("fingerprint"), "fingerprint", "left_anti")
+    missing = written(missing, "missing")
+    n, total = missing.count(), texts.count()
+    waves = max(1, -(-n // wave_rows))
+    for k in range(waves if n else 0):
+        part = missing.where(F.pmod(F.xxhash64("fingerprint"), F.lit(waves)) == k)
+        vectors = part.select("fingerprint", l2_normalise(embedder(F.col("text"))).alias("embedding"), F.current_timestamp().alias("created"))
+        vectors.write.mode("append").parquet(store)
+    return {"hits": total - n, "misses": n}
+
+
+def with_embeddings(companies: DataFrame, store: str, model: str, dimension: int = embedders.DIMENSION) -> DataFrame:
+    """companies(document) with embedding from the store, its latest; the zero vector where it has none."""
+    known = profiles.stored_embeddings(companies.sparkSession, store)
+    keyed = companies.withColumn("fingerprint", profiles.embedding_fingerprint(F.col("document"), model, dimension))
+    zero = F.array_repeat(F.lit(0.0), dimension)
+    return keyed.join(known, "fingerprint", "left").withColumn("embedding", F.coalesce("embedding", zero)).drop("fingerprint")
+
+
+def probe(specs: DataFrame) -> DataFrame:
+    """query_id, probe: the ideal profile, else the role, else the text; it is embedded like a document."""
+    return specs.select("query_id", F.coalesce(text.present(F.col("ideal_profile")), text.present(F.col("role_statement")), F.col("text")).alias("probe"))
+
+
 def answer(own: Engine, queries: DataFrame, embedder: Callable = embedders.hashed, specs: DataFrame | None = None, include_rejected: bool = False) -> DataFrame:
     """Ranked rows for queries(query_id, text); the probe is the ideal profile, else the role, else the text."""
     specs = heuristic_specs(queries) if specs is None else specs
-    probe = F.coalesce(text.present(F.col("ideal_profile")), text.present(F.col("role_statement")), F.col("text"))
-    vectors = specs.select("query_id", l2_normalise(embedder(probe)).alias("vector"))
+    vectors = probe(specs).select("query_id", l2_normalise(embedder(F.col("probe"))).alias("vector"))
     return own.run(specs, vectors, include_rejected=include_rejected)
 
 
@@ -46,12 +89,30 @@ def baseline_embedding(own: Engine, queries: DataFrame, k: int = 20, embedder: C
     return nearest(own.companies.select("org_id", "embedding"), vectors, k).select("query_id", "org_id", (F.col("rank0") + 1).alias("pos"))
 
 
-def baseline_exhaustive(own: Engine, queries: DataFrame, judge: Callable, k: int = 25) -> DataFrame:
-    """query_id, org_id, pos: every company judged on its own; score is match times confidence, positive ones only."""
+def rule_match(batch):
+    """A judge of one company by the longer words of a request: exercises the plan, says nothing of a model."""
+    import pandas as pd
+
+    rows = []
+    for r in batch.itertuples():
+        words = {w for w in r.text.lower().split() if len(w) > 3}
+        share = sum(w in r.card.lower() for w in words) / max(1, len(words))
+        rows.append((r.local_id, "QUALIFIED" if share > 0 else "REJECTED", share, "words"))
+    return pd.DataFrame(rows, columns=["local_id", "verdict", "confidence", "reason"])
+
+
+def baseline_exhaustive(own: Engine, queries: DataFrame, judge: Callable, k: int = 25, pool: DataFrame | None = None) -> DataFrame:
+    """query_id, org_id, pos, score: every company (or every one of pool(query_id, org_id)) judged on its own.
+
+    The score is match (1 for QUALIFIED, else 0) times confidence; positive ones only, the best k.
+    """
     from quernstone.functions.windows import top
     from quernstone.operators.qualify import adjudicate
 
-    rows = own.companies.select("org_id", text.company_card().alias("card")).crossJoin(F.broadcast(queries)).withColumn("rank0", F.col("org_id"))
-    verdicts = adjudicate(rows, judge, 1, "exhaustive")
-    worth = F.when(F.col("verdict") == "QUALIFIED", 1.0).when(F.col("verdict") == "PARTIAL", 0.5).otherwise(0.0) * F.col("confidence")
-    return top(verdicts.withColumn("score", worth).where("score > 0"), "query_id", [F.desc("score"), F.col("org_id")], k).select("query_id", "org_id", (F.col("rank0") + 1).alias("pos"))
+    cards = own.companies.select("org_id", text.company_card().alias("card"))
+    asked = F.broadcast(queries.select("query_id", "text"))
+    rows = cards.crossJoin(asked) if pool is None else pool.join(cards, "org_id").join(asked, "query_id")
+    verdicts = adjudicate(rows.withColumn("rank0", F.col("org_id")), judge, 1, "exhaustive")
+    worth = F.when(F.col("verdict") == "QUALIFIED", F.col("confidence")).otherwise(0.0)
+    best = top(verdicts.withColumn("score", worth).where("score > 0"), "query_id", [F.desc("score"), F.col("org_id")], k)
+    return best.select("query_id", "org_id", (F.col("rank0") + 1).alias("pos"), "score")

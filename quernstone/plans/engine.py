@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quernstone.config import Config
 from quernstone.functions import text
-from quernstone.operators import filters, qualify, ranking, retrieval
+from quernstone.operators import filters, qualify, ranking, retrieval, usage
 from quernstone.plans.scratch import written
 
+FILTERED = ("country_code", "employee_count", "revenue", "year_founded", "is_public")
+
 
 class Engine:
     """companies: the companies schema with embedding. The index of terms can be built once and passed in."""
@@ -26,7 +28,7 @@ class Engine:
         self.sizes = sizes if sizes is not None else retrieval.lengths(words)
 
     def survivors(self, specs: DataFrame) -> DataFrame:
-        thin = self.companies.select("org_id", *[c for c in ("country_code", "employee_count", "revenue", "year_founded", "is_public")])
+        thin = self.companies.select("org_id", *FILTERED)
         return filters.survivors_relaxed(thin, specs, self.config).select("query_id", "org_id", "unknown", "complexity", (F.size("prefixes") > 0).alias("has_prefixes"))
 
     def fused(self, specs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -44,7 +46,12 @@ class Engine:
 
     def run(self, specs: DataFrame, vectors: DataFrame, judge: Callable | None = None, second: Callable | None = None, include_rejected: bool = False) -> DataFrame:
         """Ranked rows of every query. judge and second take the place of the built-in rules for either tier."""
-        listed = qualify.keyword_hits(self.shortlist(specs, vectors), self.index, specs)
+        return self.stages(specs, vectors, judge, second, include_rejected)["ranked"]
+
+    def stages(self, specs: DataFrame, vectors: DataFrame, judge: Callable | None = None, second: Callable | None = None, include_rejected: bool = False) -> dict[str, DataFrame]:
+        """What ``run`` makes of each stage: shortlist, judged (after the second opinion), ranked."""
+        short = self.shortlist(specs, vectors)
+        listed = qualify.keyword_hits(short, self.index, specs)
         if judge is None:
             judged = written(qualify.adjudicate_by_rules(listed, self.config).withColumn("reason", F.lit("rules")), "judged")
         else:
@@ -57,4 +64,11 @@ class Engine:
         else:
             judged = judged.withColumn("escalated", F.lit(False))
         names = self.companies.select("org_id", text.display_name(F.col("operational_name"), F.col("website"), F.col("org_id")).alias("name"))
-        return ranking.rank(judged.join(names, "org_id").withColumn("satisfaction", F.lit(None).cast("double")), self.config, include_rejected)
+        named = judged.join(names, "org_id")
+        return {"shortlist": short, "judged": judged, "ranked": ranking.rank(ranking.with_satisfaction(named, specs), self.config, include_rejected)}
+
+    def funnel(self, specs: DataFrame, vectors: DataFrame, **options) -> DataFrame:
+        """Per query, how many rows each stage left."""
+        kept = filters.survivors_relaxed(self.companies.select("org_id", *FILTERED), specs, self.config).select("query_id", "org_id", "relaxed")
+        stages = self.stages(specs, vectors, **options)
+        return usage.funnel(specs, self.companies.count(), kept, stages["shortlist"], stages["judged"], stages["ranked"])

@@ -101,3 +101,14 @@ def build_specs(plans: DataFrame) -> DataFrame:
         F.when(rescued, F.col("phrase")).otherwise(F.array_join("p.geography", ", ")).alias("country_phrase"),
         F.when(rescued, F.col("_scanned")).otherwise(F.col("_named")).alias("countries"),
     )
+
+
+def plan_queries(queries: DataFrame, answers: DataFrame) -> DataFrame:
+    """Specs of queries(query_id, text) from a planner's answers(query_id, answer): a query whose answer is missing or holds no
+    JSON object gets the plan that needs no model, so one failed call never costs a query. planned_by tells which."""
+    from quernstone.operators.verdicts import salvaged
+
+    plans = queries.select("query_id", "text").join(answers.select("query_id", salvaged(F.col("answer")).alias("plan")), "query_id", "left")
+    built = build_specs(plans.where("plan IS NOT NULL")).withColumn("planned_by", F.lit("model"))
+    rules = heuristic_specs(plans.where("plan IS NULL").select("query_id", "text")).withColumn("planned_by", F.lit("rules"))
+    return built.unionByName(rules, allowMissingColumns=True)

@@ -25,12 +25,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", "query_id string, company string, grade int, note string").alias("r")).select("r.*")
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("org_id long, fingerprint string, embedding array<double>").parquet(path)
-
-
-def write_embeddings(rows: DataFrame, path: str) -> None:
-    rows.select("org_id", "fingerprint", "embedding").write.mode("append").parquet(path)
+def stored_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """fingerprint, embedding of a store of embeddings, the latest of each; none if there is no store yet."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return spark.createDataFrame([], "fingerprint string, embedding array<double>")
+    rows = spark.read.schema("fingerprint string, embedding array<double>, created timestamp").parquet(path)
+    return rows.groupBy("fingerprint").agg(F.max_by("embedding", "created").alias("embedding"))
 
 
 def embedding_fingerprint(text, model: str, dimension: int):

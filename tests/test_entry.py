@@ -4,8 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from quernstone.oracles import ORACLES
-from quernstone.queries import QUERIES
+from __spark_entry__ import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
