@@ -24,6 +24,9 @@ GRAM, WINDOW = 3, 3
 NOTICE = 15
 #: Least share of a template's words that a whole match covers, and one of which a part is left; width of the band on either side, as a share of the template.
 COVERAGE, PARTIAL, SLACK, LEAST_BAND = 0.8, 0.3, 0.25, 4
+#: The band of a long template, and the share of its fingerprints that a candidate shares at least: common legal phrases alone
+#: are none. A template of fewer than 1 / LEAST_PRINTS fingerprints needs one.
+MOST_BAND, LEAST_PRINTS = 128, 0.02
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +66,7 @@ class Index:
         self.names, self.ids, self.vocabulary = list(templates), [], {}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.anchors: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.prints: dict[int, int] = {}
         for t, text in enumerate(templates.values()):
             tokens = words(text.encode())
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens], np.int64)
@@ -74,8 +78,9 @@ class Index:
                     self.anchors[int(ids[q])].append((t, q))
                 continue
             hashes = gram_hashes(ids)
-            for p in winnowed(hashes).tolist():
+            for p in (own := winnowed(hashes).tolist()):
                 self.postings[int(hashes[p])].append((t, p))
+            self.prints[t] = len(own)
         self.known = np.array(sorted(self.postings), np.uint64)
         self.anchoring = np.isin(np.arange(len(self.vocabulary) + 1), list(self.anchors))
 
@@ -95,13 +100,15 @@ class Index:
         found, parts = self.notices(ids)
         for t, offsets in places.items():
             template = self.ids[t]
-            band = max(LEAST_BAND, int(SLACK * len(template)))
+            band = min(MOST_BAND, max(LEAST_BAND, int(SLACK * len(template))))
             offsets.sort()
             k = 0
             while k < len(offsets):
-                first, last = offsets[k], offsets[k]
+                first, last, begun = offsets[k], offsets[k], k
                 while k < len(offsets) and offsets[k] - first <= band:
                     last, k = offsets[k], k + 1
+                if k - begun < LEAST_PRINTS * self.prints[t]:
+                    continue
                 lo, hi = max(0, first - band), min(len(ids), last + len(template) + band)
                 matched, start, end = aligned(template, ids[lo:hi], first - lo - band, last - first + 2 * band + 1)
                 if matched < COVERAGE * len(template):
@@ -191,6 +198,18 @@ def best(found: list[Match]) -> list[Match]:
     return sorted(kept, key=lambda m: m.start)
 
 
+_indexes: dict[tuple, Index] = {}
+
+
+def index_of(templates: dict[str, str], least: float) -> Index:
+    """The index of templates, built once per Python worker; only the last one is held."""
+    key = (least, tuple(templates.items()))
+    if key not in _indexes:
+        _indexes.clear()
+        _indexes[key] = Index(templates, least)
+    return _indexes[key]
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, least: float = COVERAGE) -> DataFrame:
     """One row per match: id_col, license, matched (words), coverage (of the template), start_word, end_word, start, end
     (characters), complete (coverage of COVERAGE at least).
@@ -203,7 +222,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType()), *[T.StructField(c, T.LongType()) for c in ("start_word", "end_word", "start", "end")], T.StructField("complete", T.BooleanType())])
 
     def run(batches):
-        index = Index(templates, least)
+        index = index_of(templates, least)
         for batch in slices(batches, 1):
             rows, out = [], []
             for k, text in enumerate(batch.column(1).to_pylist()):

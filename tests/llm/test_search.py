@@ -171,3 +171,39 @@ def test_cut_off_licences_are_reported_by_the_query(spark, tmp_path):
     assert 0.4 < got[1, "mit"].coverage < 0.6 and not got[1, "mit"].complete
     assert rows[0][1][got[1, "mit"].start : got[1, "mit"].end] == half
     assert not got[2, "mit"].complete and got[3, "mit"].complete and got[5, "mit-notice"].complete and not got[5, "mit"].complete
+
+
+def test_recall_against_full_alignment():
+    """Edited licences in random texts: what a full alignment covers by 80 % is found, and other texts give nothing."""
+    from quernstone.llm.license_templates import TEMPLATES
+
+    rng = random.Random(6)
+    names = ["mit", "isc", "bsd-2-clause", "apache-2.0", "gpl-notice", "mpl-2.0", "zlib", "unlicense", "bsd-disclaimer", "bsd-3-clause-text"]
+    filler = lambda n: [rng.choice("ab cd ef the of and software license copyright to this in".split()) + rng.choice(["", "x", "y"]) for _ in range(n)]
+    index, wanted, found = licenses.Index(), 0, 0
+    for k in range(60):
+        name = names[k % len(names)]
+        template = [w.decode() for w in licenses.words(TEMPLATES[name].encode())]
+        edited = []
+        for w in template:
+            r = rng.random()
+            edited += [] if r < 0.04 else [w, "xyz"] if r < 0.08 else ["zyx"] if r < 0.12 else [w]
+        before = rng.randint(0, 40)
+        text = filler(before) + edited + filler(rng.randint(0, 40))
+        if lcs(template, text) >= licenses.COVERAGE * len(template):
+            wanted += 1
+            got = [m for m in index.scan([w.encode() for w in text]) if m.license == name and m.coverage >= licenses.COVERAGE]
+            found += any(m.start < before + len(edited) and m.end > before for m in got)
+        assert not [m for m in index.scan([w.encode() for w in filler(200)]) if m.coverage >= licenses.COVERAGE and len(index.ids[index.names.index(m.license)]) > licenses.NOTICE]
+    assert wanted > 50 and found >= 0.9 * wanted
+
+
+def test_whole_licences_are_found(spark):
+    from quernstone.llm.license_templates import TEMPLATES
+
+    gpl, mpl = TEMPLATES["gpl-3-text"], TEMPLATES["mpl-2.0-text"]
+    rows = [(1, f"readme\n{gpl}"), (2, mpl[: len(mpl) // 2]), (3, "the terms and conditions of this license apply to the work as a whole")]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), least=licenses.PARTIAL).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.complete))
+    assert got[1] == [("gpl-3-text", True)] and ("mpl-2.0-text", False) in got[2] and 3 not in got
