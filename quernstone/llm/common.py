@@ -61,12 +61,20 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
-def join_counted(rows: DataFrame, entries: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
+#: Up to this number of entries join_counted broadcasts them all, where it is told their number.
+BROADCAST_ENTRIES = 400_000
+
+
+def join_counted(rows: DataFrame, entries: DataFrame, key: str, count: str, total: int, how: str = "left", number: int | None = None) -> DataFrame:
     """Joins rows with entries (unique by key, count = how many rows have the key) without a hot partition.
 
+    If the number of entries is given and small, all of them are broadcast and rows are not shuffled.
+
     Keys of more than total / HOT_SHARE rows number fewer than HOT_SHARE, so broadcasting those few entries has a proven
     bound; all other keys have at most total / HOT_SHARE rows each and go through an ordinary shuffle join.
     """
+    if number is not None and number <= BROADCAST_ENTRIES:
+        return rows.join(F.broadcast(entries), key, how).select(*rows.columns, *[c for c in entries.columns if c != key])
     limit = max(1, total // HOT_SHARE)
     hot = entries.where(F.col(count) > limit)
     payload = [c for c in entries.columns if c != key]

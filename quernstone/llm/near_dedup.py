@@ -191,18 +191,18 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
     flat = reps.select("id", F.explode("bands").alias("key"))
     # Buckets of one document drop out.
     shared = written(flat.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
-    total = shared.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+    total, number = shared.agg(F.coalesce(F.sum("members"), F.lit(0)), F.count(F.lit(1))).first()
     if not total:
         return none
-    buckets = written(join_counted(flat, shared, "key", "members", int(total), "inner").select("key", "id", "first"), "buckets")
+    buckets = written(join_counted(flat, shared, "key", "members", int(total), "inner", number).select("key", "id", "first"), "buckets")
     ids = written(buckets.select("id").distinct(), "ids")
     sketches = written(reps.select("id", "sketch").join(ids, "id", "left_semi"), "sketches")
     sets = written(_sets(docs, ids, id_col, text_col, width).dropDuplicates(["id"]), "sets")
     ordered = lambda p: p.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b"))
 
-    def unresolved(found: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame, int]:
-        """Rows (key, id, component) of buckets whose documents are in several components, and of each such bucket a document of
-        either of two components, and its members."""
+    def unresolved(found: DataFrame | None, k: int) -> tuple[DataFrame, DataFrame, int, int]:
+        """Rows (key, id, component) of buckets; of each bucket whose documents are in several components a document of either of
+        two and its members; the sum of these members and the number of these buckets."""
         rows = buckets.select("key", "id", F.col("id").alias("component"))
         if found is not None:
             rows = buckets.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -210,7 +210,8 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
         one = F.struct(F.xxhash64("component", F.lit(k)).alias("h"), "component", "id")
         ends = rows.groupBy("key").agg(F.min(one).alias("x"), F.max(one).alias("y"), F.count(F.lit(1)).alias("members")).where("x.component <> y.component")
         ends = written(ends, "ends")
-        return rows, ends, int(ends.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0])
+        members, number = ends.agg(F.coalesce(F.sum("members"), F.lit(0)), F.count(F.lit(1))).first()
+        return rows, ends, int(members), number
 
     tested, links, found = None, None, None
     scratch = [shared, buckets, ids, sketches, sets]
@@ -218,12 +219,12 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
         if k == 0:
             proposed = buckets.where("first <> id").groupBy("id").agg(F.min("first").alias("mate"))
         else:
-            rows, ends, members = unresolved(found, k)
+            rows, ends, members, number = unresolved(found, k)
             scratch += [rows, ends]
             if not members:
                 forget(*scratch)
                 return found if found is not None else none
-            met = join_counted(rows, ends, "key", "members", members, "inner")
+            met = join_counted(rows, ends, "key", "members", members, "inner", number)
             near = met.select("id", F.when(F.col("x.component") != F.col("component"), F.col("x.id")).otherwise(F.col("y.id")).alias("mate"))
             both_ways = tested.select(F.col("a").alias("id"), F.col("b").alias("mate")).unionByName(tested.select(F.col("b").alias("id"), F.col("a").alias("mate")))
             near = near.distinct().join(both_ways, ["id", "mate"], "left_anti")
@@ -234,10 +235,10 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = written(connected(links), "components")
-    rows, ends, members = unresolved(found, ROUNDS)
+    rows, ends, members, number = unresolved(found, ROUNDS)
     scratch += [rows, ends]
     if members:
-        new = written(_residual(join_counted(rows, ends.select("key", "members"), "key", "members", members, "inner"), sketches, sets, percent), "residual")
+        new = written(_residual(join_counted(rows, ends.select("key", "members"), "key", "members", members, "inner", number), sketches, sets, percent), "residual")
         if new.limit(1).count():
             links = new if links is None else links.unionByName(new)
             found = written(connected(links), "components")
@@ -338,11 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def representatives(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """row_col of the rows that stay: of each component one row of the smallest id, the one of the smallest row number (row_col
-    is unique). Of rows without an id that equal each other alone, and of no row with an id, one stays; rows without words
-    all stay."""
+    is unique). Should rows of that id have different sets, one of each stays. Of rows without an id that equal each other
+    alone, and no row with an id, one stays; rows without words all stay."""
     out = _components(docs, id_col, text_col, width, percent, row_col)
     wordless = F.when(F.col("digest").isNull(), F.col("row"))
-    kept = out.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("digest")).alias("_d"), wordless.alias("_w"))
+    kept = out.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id", "digest", wordless.alias("_w"))
     return kept.agg(F.min("row").alias(row_col)).select(row_col)
 
 

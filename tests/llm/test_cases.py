@@ -91,3 +91,23 @@ def test_chat_on_odd_rows(spark):
     assert set(got) == {1, 4} and got[1].n_turns == 2
     assert got[1].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>\n<|im_end|>\n"
     assert chat.format_chats(table.limit(0)).count() == 0
+
+
+def test_clashing_names_of_other_shapes(spark):
+    chats = spark.createDataFrame([(1, 0, "user", "a", *["x"] * 6), (1, 1, "bot", None, *["x"] * 6)], "conv_id long, turn long, role string, text string, " + ", ".join(f"`{c}` string" for c in ("n_turns", "snapshots", "part", "rendered", "_place", "_h1")))
+    assert chat.format_chats(chats).first().n_turns == 2
+    docs = spark.createDataFrame([(1, "All rights reserved.", *["x"] * 8)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in ("license", "start", "end", "matched", "coverage", "section", "n_tokens", "complete")))
+    assert licenses.scan_licenses(docs).first().license == "all-rights-reserved"
+    assert token_counts.section_tokens(docs).first().section == 0
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_of_every_rule_add_up(spark, rule):
+    texts = ["one\n\ntwo  three\n", "naïve\ncafé 漢字\n🙂🙂", "", "a\n" * 50]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {}
+    for r in token_counts.section_tokens(docs, rule=rule).collect():
+        by[r.doc_id] = by.get(r.doc_id, 0) + r.n_tokens
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoding, _ = token_counts.encoder(f.read(), token_counts.VOCABULARY)
+    assert by == {i: pytest.approx(len(encoding.encode_ordinary(t))) for i, t in enumerate(texts)}

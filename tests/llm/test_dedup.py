@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quernstone.llm import components, exact_dedup, line_dedup, near_dedup
+from quernstone.llm import common, components, exact_dedup, line_dedup, near_dedup
 from quernstone.llm.components import connected
 
 WORDS = [a + b for a in ("ka", "lo", "mi", "ten", "ruf", "sab") for b in ("da", "ne", "pol", "x", "yy", "ogi", "ur")]
@@ -63,6 +63,7 @@ def test_near_duplicates_against_brute_force(spark, near, width):
 def test_residual_blocks_find_what_rounds_leave(spark, near, monkeypatch):
     monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(common, "BROADCAST_ENTRIES", 0)
     # Wide buckets, so that many pairs of unlike documents share one.
     monkeypatch.setattr(near_dedup, "band_keys", lambda sig: np.where(np.arange(near_dedup.BANDS) < 3, sig[: near_dedup.BANDS] % 2, sig[: near_dedup.BANDS]).astype(np.int64) * 64 + np.arange(near_dedup.BANDS))
     got = near_dedup.near_duplicates(spark.createDataFrame(near, "doc_id long, text string"), width=4).collect()
