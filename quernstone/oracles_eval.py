@@ -182,4 +182,11 @@ SELECT query_id, org_id, CAST(pick AS INT) AS pick FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY abs(confidence - 0.5::DOUBLE), rank0) - 1 AS pick FROM m
   WHERE confidence BETWEEN 0.35::DOUBLE AND 0.72::DOUBLE OR verdict = 'PARTIAL' OR tier = 'error' OR (rank0 < greatest(1, total // 10) AND verdict = 'REJECTED') OR (rank0 > 0.6::DOUBLE * total AND verdict = 'QUALIFIED')
 ) WHERE pick < greatest(1, CAST(floor(total * 0.25::DOUBLE) AS BIGINT))""",
+    "profile_scan": """
+SELECT 'N' || c_custkey AS operational_name, 1900 + c_custkey % 100 AS year_founded, CASE WHEN c_custkey % 2 = 0 THEN 'ro' ELSE 'gb' END AS country_code, CASE WHEN c_custkey % 2 = 1 THEN 'T' END AS town,
+  CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS employee_count, CASE WHEN c_custkey % 4 <> 0 THEN 4500.0::DOUBLE END AS revenue, 'd' || c_custkey AS description,
+  CASE WHEN c_custkey % 5 = 0 THEN 'solo' ELSE 'a|b' END AS business_model, CASE WHEN c_custkey % 6 = 0 THEN TRUE END AS is_public FROM customer""",
+    "label_scan": "SELECT 'q' || (doc_id % 3) AS query_id, 'c' || doc_id AS company, quality AS grade, CAST(NULL AS VARCHAR) AS note FROM labels WHERE doc_id % 10 > 1",
+    "json_sink": "SELECT 'q' || (p_partkey % 4) AS query_id, CAST(p_partkey // 4 AS INT) AS place, p_partkey AS org_id, p_name AS name, round(p_partkey / 7.0::DOUBLE, 4) AS score, 'PARTIAL' AS verdict, round(p_partkey / 11.0::DOUBLE, 3) AS confidence, round(p_partkey / 13.0::DOUBLE, 4) AS fused, CASE WHEN p_partkey % 2 = 0 THEN 'r' END AS reason, 'revenue' AS unknown FROM part",
+    "stream_refresh": "SELECT count(DISTINCT text) AS texts, count(DISTINCT text) AS rows, CAST(0 AS BIGINT) AS added FROM documents",
 }

@@ -15,7 +15,8 @@ from quernstone.plans import corpus, evaluation, planner
 from quernstone.plans import fixture as fx
 from quernstone.plans.engine import Engine
 from quernstone.plans.scratch import scratch_dir
-from quernstone.sources import sinks
+from quernstone.sources import profiles, sinks
+from quernstone.streaming import refresh
 
 R = 9
 #: Names and weights of the criteria that the answers speak of (fixed values).
@@ -302,11 +303,73 @@ def missing_verdicts(spark, sf_dir):
     return out.select("query_id", "org_id", F.col("pick").cast("int").alias("pick"))
 
 
+def profile_scan(spark, sf_dir):
+    """Customers as JSON lines, fields in all their raw forms and blank lines between, read and parsed."""
+    k = F.col("c_custkey")
+    part = lambda name, value: F.concat(F.lit(f'"{name}": '), value)
+    line = F.concat(
+        F.lit("{"),
+        F.concat_ws(
+            ", ",
+            part("operational_name", F.concat(F.lit('"N'), k.cast("string"), F.lit('"'))),
+            part("year_founded", F.concat((1900 + k % 100).cast("string"), F.lit(".0"))),
+            part("address", F.when(k % 2 == 0, "\"{'country_code': 'RO', 'town': None}\"").otherwise('{"country_code": "uk", "town": "T"}')),
+            part("employee_count", F.when(k % 3 == 0, "null").otherwise(k.cast("string"))),
+            part("revenue", F.when(k % 4 == 0, '"n/a"').otherwise("4.5e3")),
+            part("description", F.concat(F.lit('" d'), k.cast("string"), F.lit(' "'))),
+            part("business_model", F.when(k % 5 == 0, '"solo"').otherwise('["a", " b "]')),
+            part("is_public", F.when(k % 6 == 0, "true").when(k % 6 == 1, '"yes"').otherwise("null")),
+        ),
+        F.lit("}"),
+    )
+    path = f"{scratch_dir(spark)}/profiles-{uuid.uuid4().hex[:8]}"
+    lines = fx.table(spark, sf_dir, "customer").select(F.explode(F.array(line, F.when(k % 9 == 0, "").otherwise("  "))).alias("value"))
+    lines.write.text(path)
+    rows = cleaning.parse_profiles(profiles.read_profiles(spark, path))
+    return rows.select("operational_name", "year_founded", "country_code", "town", "employee_count", "revenue", "description", F.array_join("business_model", "|").alias("business_model"), "is_public")
+
+
+def label_scan(spark, sf_dir):
+    """Labels as JSON lines among comments and blank lines."""
+    k = F.col("doc_id")
+    line = F.when(k % 10 == 0, "// a comment").when(k % 10 == 1, "  ").otherwise(F.concat(F.lit('{"query_id": "q'), (k % 3).cast("string"), F.lit('", "company": "c'), k.cast("string"), F.lit('", "grade": '), F.col("quality").cast("string"), F.lit("}")))
+    path = f"{scratch_dir(spark)}/labels-{uuid.uuid4().hex[:8]}"
+    fx.table(spark, sf_dir, "labels").select(line.alias("value")).write.text(path)
+    return profiles.read_labels(spark, path)
+
+
+def json_sink(spark, sf_dir):
+    """Ranked rows written as JSON and read again."""
+    k = F.col("p_partkey")
+    rows = fx.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("q"), (k % 4).cast("string")).alias("query_id"), F.floor(k / 4).cast("int").alias("place"), k.alias("org_id"), F.col("p_name").alias("name"), (k / 7.0).alias("score"),
+        F.lit("PARTIAL").alias("verdict"), (k / 11.0).alias("confidence"), (k / 13.0).alias("fused"), F.when(k % 2 == 0, "r").alias("reason"), F.array(F.lit("revenue")).alias("unknown"),
+    )
+    path = f"{scratch_dir(spark)}/json-{uuid.uuid4().hex[:8]}"
+    sinks.write_json(rows, path)
+    read = spark.read.schema("query_id string, place int, org_id long, name string, score double, verdict string, confidence double, fused double, reason string, unknown array<string>").json(path)
+    return read.withColumn("unknown", F.array_join("unknown", ","))
+
+
+def stream_refresh(spark, sf_dir):
+    """A stream of the documents embeds each text once; a second run over the same checkpoint and store adds nothing."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex[:8]}"
+    schema = fx.table(spark, sf_dir, "documents").schema
+    counts = []
+    for k in range(2):
+        stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parquet*").select(F.col("doc_id").alias("org_id"), F.col("text").alias("document"))
+        refresh.refresh(stream.dropDuplicates(["document"]), f"{base}/store", f"{base}/check{k}", embed.hashed, "m", embed.DIMENSION).awaitTermination()
+        counts.append(spark.read.parquet(f"{base}/store").count())
+    store = spark.read.parquet(f"{base}/store")
+    return store.agg(F.countDistinct("fingerprint").alias("texts"), F.count(F.lit(1)).alias("rows")).withColumn("added", F.lit(counts[1] - counts[0]).cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         parse_verdicts, rank_with_criteria, judge_grades, plan_from_json, hard_constraints, query_probes, funnel_counts, prompt_batches, coerce_codes, describe_ranges,
         cache_stats, usage_delta, project_costs, label_pairs, grade_disagreements, calibration, label_sheet, eval_means, query_allow_list, stability_summary, judge_pool,
         result_rows, hash_embedding, embed_ingest, baseline_embedding, exhaustive_baseline, dedupe_groups, missing_verdicts,
+        profile_scan, label_scan, json_sink, stream_refresh,
     )
 }
