@@ -62,7 +62,7 @@ def word_count(text: Column) -> Column:
 
 
 #: Up to this number of entries join_counted broadcasts them all, where it is told their number.
-BROADCAST_ENTRIES = 400_000
+BROADCAST_ENTRIES = 100_000
 
 
 def join_counted(rows: DataFrame, entries: DataFrame, key: str, count: str, total: int, how: str = "left", number: int | None = None) -> DataFrame:
