@@ -18,8 +18,9 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
 def _turn_hash(seed: int) -> Column:
-    # Decimal sums neither overflow nor wrap.
-    return F.xxhash64(F.lit(seed), "_place", F.coalesce("role", F.lit("\0")), F.coalesce("text", F.lit("\0"))).cast("decimal(38,0)")
+    # Decimal sums neither overflow nor wrap. A null differs from every text.
+    said = [x for c in ("role", "text") for x in (F.coalesce(c, F.lit("")), F.col(c).isNull())]
+    return F.xxhash64(F.lit(seed), "_place", *said).cast("decimal(38,0)")
 
 
 def turns(conversations: DataFrame) -> DataFrame:

@@ -80,20 +80,53 @@ def allocate(starts: np.ndarray, ends: np.ndarray, sections: np.ndarray, size: i
     return out
 
 
-def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: str = "first", sections=line_sections, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per section of each row's text: id_col, section (from 0), start, end (characters), n_tokens (double).
-
-    The counts of a text's sections add up to its tokens. An empty text has one empty section without tokens, and so has a
-    null one. Repeated rows give repeated results. Other columns are not read. The vocabulary is read on the driver.
-    """
+def _shared(docs: DataFrame, rule: str, vocabulary: str):
+    """The vocabulary as a broadcast."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    spark = docs.sparkSession
     with open(vocabulary, "rb") as f:
         raw = f.read(MAX_VOCABULARY + 1)
     if len(raw) > MAX_VOCABULARY:
         raise ValueError(f"{vocabulary} is larger than {MAX_VOCABULARY} bytes")
-    shared = spark.sparkContext.broadcast(raw)
+    return docs.sparkSession.sparkContext.broadcast(raw)
+
+
+def field_tokens(docs: DataFrame, fields: tuple[tuple[str, str], ...] = (("source", "source: "), ("lang", "\nlang: "), ("text", "\n\n")), id_col: str = "doc_id", rule: str = "first", vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per field of each row that has one: id_col, field, start, end (characters), n_tokens (double).
+
+    A row is rendered as a whole, each field (column, what stands before it) after the other, and encoded once; what stands
+    before a field belongs to it. Null fields are left out; a row without a field gives no row. Repeated rows give repeated
+    results. The counts of a row's fields add up to its tokens.
+    """
+    shared = _shared(docs, rule, vocabulary)
+    parts = F.filter(F.array(*[F.struct(F.lit(c).alias("name"), F.concat(F.lit(before), F.col(c).cast("string")).alias("part")) for c, before in fields]), lambda p: p["part"].isNotNull())
+    rows = docs.select(F.col(id_col), F.array_join(F.transform(parts, lambda p: p["part"]), "").alias("_text"), F.transform(parts, lambda p: p["name"]).alias("_names"), F.transform(parts, lambda p: F.length(p["part"])).alias("_sizes"))
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("field", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n_tokens", T.DoubleType())])
+
+    def run(batches):
+        encoding, lengths = encoder(shared.value, vocabulary)
+        for batch in slices(batches, 1):
+            take, names, starts, ends, counts = [], [], [], [], []
+            for k, (text, own, sizes) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+                if own:
+                    to = np.cumsum(np.array(sizes, np.int64))
+                    at = to - sizes
+                    take += [k] * len(own)
+                    names += own
+                    starts.append(at), ends.append(to), counts.append(allocate(*token_spans(text, encoding, lengths), at, len(text), rule))
+            if take:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take)), pa.array(names, pa.string()), *(pa.array(np.concatenate(x)) for x in (starts, ends, counts))], schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: str = "first", sections=line_sections, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per section of each row's text: id_col, section (from 0), start, end (characters), n_tokens (double).
+
+    The counts of a text's sections add up to its tokens. An empty text has one empty section without tokens, and so has a
+    null one. Repeated rows give repeated results. Other columns are not read. The vocabulary is read on the driver.
+    """
+    shared = _shared(docs, rule, vocabulary)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("section", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("n_tokens", T.DoubleType())])
 
     def run(batches):

@@ -111,3 +111,29 @@ def test_token_counts_of_every_rule_add_up(spark, rule):
     with open(token_counts.VOCABULARY, "rb") as f:
         encoding, _ = token_counts.encoder(f.read(), token_counts.VOCABULARY)
     assert by == {i: pytest.approx(len(encoding.encode_ordinary(t))) for i, t in enumerate(texts)}
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_fields_share_the_tokens_of_the_whole(spark, rule):
+    rows = [(1, "web", "en", "naïve text\nof it"), (2, None, "de", "x"), (3, None, None, None), (4, "", "", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = {}
+    for r in token_counts.field_tokens(docs, rule=rule).collect():
+        got.setdefault(r.doc_id, {})[r.field] = (r.start, r.end, r.n_tokens)
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoding, _ = token_counts.encoder(f.read(), token_counts.VOCABULARY)
+    whole = {1: "source: web\nlang: en\n\nnaïve text\nof it", 2: "\nlang: de\n\nx", 4: "source: \nlang: \n\n"}
+    assert set(got) == {1, 2, 4} and set(got[2]) == {"lang", "text"}
+    for i, text in whole.items():
+        assert sum(n for _, _, n in got[i].values()) == pytest.approx(len(encoding.encode_ordinary(text)))
+        assert max(e for _, e, _ in got[i].values()) == len(text)
+
+
+def test_schedule_gives_the_words_that_are_taken(spark):
+    docs = spark.createDataFrame([(i, "w " * (5 + i % 7), f"s{i % 3}") for i in range(60)], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
+    pieces = {}
+    for r in mixing.mix_schedule(docs).collect():
+        assert 0 <= r.from_word < r.to_word and 0 <= r.position < 1
+        pieces[r.doc_id] = pieces.get(r.doc_id, 0) + r.to_word - r.from_word
+    assert pieces == {i: t for i, t in taken.items() if t}
