@@ -348,5 +348,5 @@ SELECT doc_id, grade FROM first UNION ALL SELECT doc_id, grade FROM rest WHERE m
 WITH c AS (SELECT event_type AS model, event_id % 997 AS p, user_id % 97 AS o, CASE event_type WHEN 'click' THEN 0.10::DOUBLE WHEN 'view' THEN 0.15::DOUBLE ELSE 0.30::DOUBLE END AS i, CASE event_type WHEN 'click' THEN 0.40::DOUBLE WHEN 'view' THEN 0.0::DOUBLE ELSE 2.50::DOUBLE END AS u FROM events)
 SELECT model, count(*) AS calls, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, round(sum((p * i + o * u) / 1e6), 9) AS cost FROM c GROUP BY model""",
     "cache_probe": "WITH k AS (SELECT doc_id, sha256('embed' || chr(31) || 'm' || chr(31) || text) AS key FROM documents) SELECT doc_id, key FROM k WHERE key NOT IN (SELECT key FROM k WHERE doc_id % 2 = 0)",
-    "embed_batches": "SELECT doc_id // 25 AS batch, count(*) AS texts, CAST(sum(least(length(text), 8000)) AS BIGINT) AS chars FROM documents GROUP BY doc_id // 25",
+    "embed_batches": "SELECT doc_id, CAST(least(length(text), 8000) AS BIGINT) AS chars, TRUE AS in_batch FROM documents",
 }

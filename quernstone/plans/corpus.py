@@ -40,10 +40,10 @@ def engine(companies: DataFrame, embedder: Callable = embedders.hashed, config=N
 WAVE_ROWS = 100_000
 
 
-def embed_corpus(documents: DataFrame, store: str, embedder: Callable, model: str, dimension: int = embedders.DIMENSION, chars: int = 8000, rebuild: bool = False, wave_rows: int = WAVE_ROWS) -> dict[str, int]:
+def embed_corpus(documents: DataFrame, store: str, embedder: Callable, model: str, dimension: int = embedders.DIMENSION, chars: int = 8000, rebuild: bool = False, wave_rows: int = WAVE_ROWS, service: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
     """Embeds the texts of documents(org_id, document) that the store lacks; hits and misses. rebuild takes all for misses.
 
-    Texts are known by fingerprint (of text, model and dimension), so equal texts are embedded once. Misses go in waves by
+    service(rows of fingerprint, text), which adds embedding (``connector.embed``), takes the place of the embedder. Texts are known by fingerprint (of text, model and dimension), so equal texts are embedded once. Misses go in waves by
     fingerprint, each appended when it is done.
     """
     spark = documents.sparkSession
@@ -56,7 +56,8 @@ def embed_corpus(documents: DataFrame, store: str, embedder: Callable, model: st
     waves = max(1, -(-n // wave_rows))
     for k in range(waves if n else 0):
         part = missing.where(F.pmod(F.xxhash64("fingerprint"), F.lit(waves)) == k)
-        vectors = part.select("fingerprint", l2_normalise(embedder(F.col("text"))).alias("embedding"), F.current_timestamp().alias("created"))
+        got = part.withColumn("embedding", embedder(F.col("text"))) if service is None else service(part.select("fingerprint", "text"))
+        vectors = got.select("fingerprint", l2_normalise(F.col("embedding")).alias("embedding"), F.current_timestamp().alias("created"))
         vectors.write.mode("append").parquet(store)
     return {"hits": total - n, "misses": n}
 
@@ -74,11 +75,11 @@ def probe(specs: DataFrame) -> DataFrame:
     return specs.select("query_id", F.coalesce(text.present(F.col("ideal_profile")), text.present(F.col("role_statement")), F.col("text")).alias("probe"))
 
 
-def answer(own: Engine, queries: DataFrame, embedder: Callable = embedders.hashed, specs: DataFrame | None = None, include_rejected: bool = False) -> DataFrame:
+def answer(own: Engine, queries: DataFrame, embedder: Callable = embedders.hashed, specs: DataFrame | None = None, include_rejected: bool = False, **options) -> DataFrame:
     """Ranked rows for queries(query_id, text); the probe is the ideal profile, else the role, else the text."""
     specs = heuristic_specs(queries) if specs is None else specs
     vectors = probe(specs).select("query_id", l2_normalise(embedder(F.col("probe"))).alias("vector"))
-    return own.run(specs, vectors, include_rejected=include_rejected)
+    return own.run(specs, vectors, include_rejected=include_rejected, **options)
 
 
 def baseline_embedding(own: Engine, queries: DataFrame, k: int = 20, embedder: Callable = embedders.hashed) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from quernstone.functions import text
 from quernstone.operators import filters, qualify, ranking, retrieval, usage
 from quernstone.plans.scratch import written
 
+if TYPE_CHECKING:
+    from quernstone.plans.remote import Services
+
 FILTERED = ("country_code", "employee_count", "revenue", "year_founded", "is_public")
 
 
@@ -44,22 +48,34 @@ class Engine:
         """At most config.max_shortlist rows a query, written: later stages read it several times."""
         return written(retrieval.shortlist(self.fused(specs, vectors), self.config), "shortlist")
 
-    def run(self, specs: DataFrame, vectors: DataFrame, judge: Callable | None = None, second: Callable | None = None, include_rejected: bool = False) -> DataFrame:
-        """Ranked rows of every query. judge and second take the place of the built-in rules for either tier."""
-        return self.stages(specs, vectors, judge, second, include_rejected)["ranked"]
+    def run(self, specs: DataFrame, vectors: DataFrame, judge: Callable | None = None, second: Callable | None = None, include_rejected: bool = False, services: Services | None = None) -> DataFrame:
+        """Ranked rows of every query. judge and second take the place of the built-in rules for either tier; services asks models
+        for both."""
+        return self.stages(specs, vectors, judge, second, include_rejected, services)["ranked"]
+
+    def _asked(self, services: Services, step: str, rows: DataFrame, specs: DataFrame, size: int) -> DataFrame:
+        cards = self.companies.withColumn("card", text.company_card()).select("org_id", "card")
+        # A shortlist is bounded by the queries of a run.
+        listed = F.broadcast(rows.select("query_id", "org_id", "rank0", "unknown"))
+        return services.verdicts(step, cards.join(listed, "org_id"), specs, size)
 
-    def stages(self, specs: DataFrame, vectors: DataFrame, judge: Callable | None = None, second: Callable | None = None, include_rejected: bool = False) -> dict[str, DataFrame]:
+    def stages(self, specs: DataFrame, vectors: DataFrame, judge: Callable | None = None, second: Callable | None = None, include_rejected: bool = False, services: Services | None = None) -> dict[str, DataFrame]:
         """What ``run`` makes of each stage: shortlist, judged (after the second opinion), ranked."""
         short = self.shortlist(specs, vectors)
         listed = qualify.keyword_hits(short, self.index, specs)
-        if judge is None:
+        if services is not None:
+            verdicts = self._asked(services, "qualify", listed, specs, self.config.qualify_batch).withColumn("escalated", F.lit(False))
+            judged = written(ranking.with_verdicts(listed, verdicts).drop("escalated"), "judged")
+        elif judge is None:
             judged = written(qualify.adjudicate_by_rules(listed, self.config).withColumn("reason", F.lit("rules")), "judged")
         else:
             verdicts = qualify.adjudicate(listed, judge, self.config.qualify_batch, "judge").withColumn("escalated", F.lit(False))
             judged = written(ranking.with_verdicts(listed, verdicts).drop("escalated"), "judged")
         if self.config.escalate:
             picked = qualify.escalation_pick(judged, self.config)
-            again = qualify.second_opinion_by_rules(picked) if second is None else qualify.adjudicate(picked.withColumn("rank0", F.col("pick")), second, self.config.escalate_batch, "second")
+            if services is not None:
+                picked = written(picked.drop("rank0").withColumnRenamed("pick", "rank0"), "picked")
+            again = self._asked(services, "escalate", picked, specs, self.config.escalate_batch) if services is not None else qualify.second_opinion_by_rules(picked) if second is None else qualify.adjudicate(picked.withColumn("rank0", F.col("pick")), second, self.config.escalate_batch, "second")
             judged = qualify.escalate(judged, again)
         else:
             judged = judged.withColumn("escalated", F.lit(False))

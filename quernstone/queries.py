@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernstone.config import Config
 from quernstone.functions import coerce, geo, text, vector
 from quernstone.functions.windows import top
 from quernstone.operators import cleaning, filters, metrics, qualify, retrieval, sampling, usage
@@ -230,9 +231,12 @@ def cache_probe(spark, sf_dir):
 
 
 def embed_batches(spark, sf_dir):
-    """Texts dealt into batches of 25 by id, with their sizes after the cut at 8,000 characters."""
-    docs = fx.table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 25).alias("batch"), F.length(F.substring("text", 1, 8000)).alias("n"))
-    return docs.groupBy("batch").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("chars"))
+    """All texts through an embedding service that answers with a text's length and the size of its batch."""
+    from quernstone.sources import connector
+
+    docs = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = connector.embed(docs, lambda texts: [[len(t), len(texts)] for t in texts], 2, Config(embed_per_minute=10**9))
+    return out.select("doc_id", F.element_at("embedding", 1).cast("long").alias("chars"), (F.element_at("embedding", 2) <= Config().embed_batch).alias("in_batch"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

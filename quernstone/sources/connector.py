@@ -172,6 +172,36 @@ def ask(prompts: DataFrame, tier: ModelTier, transport: Callable, config: Config
     return prompts.repartition(lanes).mapInPandas(run, schema)
 
 
+def embed(rows: DataFrame, transport: Callable[[list[str]], list[list[float]]], dimension: int, config: Config = Config(), column: str = "text") -> DataFrame:
+    """rows with embedding (array<double>), by calls of config.embed_batch texts; every text counts against the rate. A call that
+    fails config.max_retries times gives zero vectors, so the texts stay and a later run may embed them again."""
+    lanes, rate = config.max_concurrency, config.embed_per_minute / config.max_concurrency
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["embedding array<double>"])
+
+    def call(texts: list[str], bucket: TokenBucket) -> list[list[float]]:
+        for k in range(config.max_retries):
+            bucket.acquire(len(texts))
+            try:
+                got = transport(texts)
+                if len(got) == len(texts):
+                    return [[float(x) for x in v] for v in got]
+            except OSError:
+                pass
+            if k + 1 < config.max_retries:
+                time.sleep(min(config.backoff_base**k, 30.0) * (0.7 + 0.6 * random.random()))
+        return [[0.0] * dimension] * len(texts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = TokenBucket(max(rate, 1e-3))
+        for frame in frames:
+            texts, out = frame[column].fillna("").tolist(), []
+            for a in range(0, len(texts), config.embed_batch):
+                out += call([t[: config.embed_chars] for t in texts[a : a + config.embed_batch]], bucket)
+            yield frame.assign(embedding=out)
+
+    return rows.repartition(lanes).mapInPandas(run, schema)
+
+
 def ask_cached(prompts: DataFrame, cache: ResultCache, namespace: str, tier: ModelTier, transport: Callable, config: Config = Config()) -> DataFrame:
     """As ask, but a prompt that the cache knows (by namespace, the tier's first model and the prompt) costs no call; new answers
     are put there under the model of the tier, failures are not."""

@@ -220,3 +220,49 @@ def test_engine_uses_criteria_of_a_judge(spark):
 
     rows = own.run(specs, fx.query_vectors(spark, "/root/testdata/sf0.001"), judge=said).collect()
     assert {r.satisfaction for r in rows} == {0.0, 1.0} and all((r.satisfaction == 1.0) == (r.org_id % 2 == 1) for r in rows)
+
+
+def test_services_from_plan_to_ranking(spark, small, tmp_path):
+    from quernstone.plans import remote
+
+    def transport(model, prompt):
+        if prompt.startswith("Plan a search"):
+            answer = {"complexity": "STRUCTURED", "role_statement": "makes steel", "geography": ["Romania"], "keywords": ["steel"], "criteria": [{"name": "Steel", "weight": 1.0, "must_have": True, "description": "makes it"}]}
+            return (200, json.dumps(answer), 10, 5)
+        blocks = prompt.split("--- id ")[1:]
+        said = [{"id": int(b.split(" ")[0]), "verdict": "QUALIFIED" if "steel" in b else "REJECTED", "confidence": 0.5 if model == "cheap" else 0.9, "reason": model, "criteria_met": ["steel"] if "steel" in b else [], "criteria_failed": []} for b in blocks]
+        graded = [{"id": x["id"], "grade": 3 if x["verdict"] == "QUALIFIED" else 0, "justification": "j"} for x in said]
+        return (200, json.dumps({"results": said, "grades": graded, "match": "steel" in prompt.split("Name: ")[-1], "confidence": 0.7, "reason": "m"}), 100, 20)
+
+    tiers = {k: connector.ModelTier(m) for k, m in (("plan", "big"), ("qualify", "cheap"), ("escalate", "big"), ("judge", "big"), ("match", "cheap"))}
+    config = Config(generate_per_minute=10**6, max_concurrency=2)
+    services = remote.Services(tiers, transport, config, usage.ResultCache(spark, str(tmp_path / "cache")))
+    queries = spark.createDataFrame([("a", "who makes steel in Romania")], "query_id string, text string")
+    specs = services.plan(queries).withColumn("prefixes", F.array().cast("array<string>"))
+    engine = corpus.engine(small.withColumn("description", F.col("description")), config=config)
+    ranked = corpus.answer(engine, queries, specs=specs, services=services).collect()
+    assert ranked and all("steel" in x for x in [r.document for r in engine.companies.collect() if r.org_id in {r.org_id for r in ranked}])
+    assert {r.verdict for r in ranked} == {"QUALIFIED"} and any(r.escalated and r.tier == "big" and r.confidence == 0.9 for r in ranked) and {r.satisfaction for r in ranked} == {1.0}
+    cards = small.select("org_id", F.col("description").alias("card"))
+    grades = services.grades(small.select(F.lit("a").alias("query_id"), "org_id"), queries, cards)
+    assert {r.org_id: r.grade for r in grades.collect()} == {i: 3 if i % 2 else 0 for i in range(12)}
+    matches = services.matches(small.select(F.lit("a").alias("query_id"), "org_id", F.lit("ask").alias("text"), F.concat(F.lit("Name: "), "description").alias("card")))
+    assert {r.org_id: r.score for r in matches.collect()} == {i: 0.7 if i % 2 else 0.0 for i in range(12)}
+    prices = spark.createDataFrame([("big", 1.0, 1.0)], "model string, price_in double, price_out double")
+    assert {r.model: r.calls for r in services.usage(prices).collect()}["big"] >= 3
+
+
+def test_embedding_service_in_batches(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(99, "bad")], "org_id long, document string")
+
+    def service(texts):
+        if "bad" in texts:
+            raise OSError("down")
+        assert len(texts) <= 25
+        return [[1.0, float(len(t))] for t in texts]
+
+    config = Config(embed_per_minute=10**9, max_retries=1, max_concurrency=1, embed_batch=1)
+    got = corpus.embed_corpus(docs, str(tmp_path / "s"), None, "m", 2, service=lambda rows: connector.embed(rows, service, 2, config))
+    assert got == {"hits": 0, "misses": 61}
+    rows = {r.org_id: r.embedding for r in corpus.with_embeddings(docs, str(tmp_path / "s"), "m", 2).collect()}
+    assert rows[99] == [0.0, 0.0] and all(sum(x * x for x in v) == pytest.approx(1) for i, v in rows.items() if i != 99)
