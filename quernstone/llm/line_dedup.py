@@ -35,7 +35,7 @@ COMBINED_LINES = 50_000
 #: Up to this number of hashes of lines a list of them is broadcast; a longer one is joined by a shuffle.
 BROADCAST_KEYS = 500_000
 #: Up to these numbers of documents and of lines the lists of dropped lines are broadcast; more are joined by a shuffle.
-BROADCAST_DOCS, BROADCAST_LINES = 200_000, 1_000_000
+BROADCAST_DOCS, BROADCAST_LINES = 50_000, 250_000
 VARIABLE, DIGIT = re.compile(rb"\S*\d\S*"), re.compile(rb"\d")
 NO_ID = (1 << 63) - 1
 
