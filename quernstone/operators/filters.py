@@ -12,6 +12,17 @@ RANGES = {"employee_count": "employees", "revenue": "revenue", "year_founded": "
 CONSTRAINTS = ("country", "employee_count", "revenue", "year_founded", "is_public")
 
 
+#: Specs of one run at most: they meet every company, and are broadcast.
+MOST_SPECS = 10_000
+
+
+def stated(specs: DataFrame) -> DataFrame:
+    """specs as a broadcast side, after a check of their number."""
+    if specs.limit(MOST_SPECS + 1).count() > MOST_SPECS:
+        raise ValueError(f"a run answers at most {MOST_SPECS} requests; deal them into several")
+    return F.broadcast(specs)
+
+
 def in_range(value: Column, low: Column, high: Column) -> Column:
     """Inclusive; an open end always holds; a null value is unknown."""
     return F.when(value.isNotNull(), F.coalesce(value >= low, F.lit(True)) & F.coalesce(value <= high, F.lit(True)))
@@ -43,9 +54,9 @@ def tri(c: Column, asked: Column) -> Column:
 def apply_filters(companies: DataFrame, specs: DataFrame) -> DataFrame:
     """Every (query_id, org_id) with PASS, FAIL or UNKNOWN per constraint that the query sets, else null.
 
-    Specs are the queries of one run: a stated set, given by the caller, so they are broadcast.
+    Specs are the queries of one run: a stated set, given by the caller, of checked size.
     """
-    met = companies.crossJoin(F.broadcast(specs))
+    met = companies.crossJoin(stated(specs))
     return met.select("query_id", "org_id", *[tri(outcome(c), is_set(c)).alias(c) for c in CONSTRAINTS])
 
 
@@ -53,7 +64,7 @@ def survivors(companies: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows without a failed constraint, with all columns of both sides and unknown (names of unknown constraints)."""
     held = [F.coalesce(outcome(c), F.lit(True)) for c in CONSTRAINTS]
     unknown = F.array_compact(F.array(*[F.when(is_set(c) & outcome(c).isNull(), F.lit(c)) for c in CONSTRAINTS]))
-    joined = companies.crossJoin(F.broadcast(specs))
+    joined = companies.crossJoin(stated(specs))
     for h in held:
         joined = joined.where(h)
     return joined.withColumn("unknown", unknown)
@@ -86,7 +97,7 @@ def survivors_relaxed(companies: DataFrame, specs: DataFrame, config: Config = C
     name = lambda c: F.when(is_set(c) & outcome(c).isNull(), F.lit(c))
     soft_unknown = F.array_compact(F.array(*[name(c) for c in ("country", "is_public")]))
     all_unknown = F.array_compact(F.array(*[name(c) for c in CONSTRAINTS]))
-    rows = companies.crossJoin(F.broadcast(specs)).where(soft_held).withColumn("_strict", strict).withColumn("_numeric", numeric)
+    rows = companies.crossJoin(stated(specs)).where(soft_held).withColumn("_strict", strict).withColumn("_numeric", numeric)
     counts = rows.groupBy("query_id").agg(F.count_if("_strict").alias("_n"), F.count(F.lit(1)).alias("_m"), F.first("_numeric").alias("_any"))
     relax = counts.select("query_id", (F.col("_any") & (F.col("_n") < config.relax_below) & (F.col("_m") > F.col("_n"))).alias("relaxed"))
     kept = rows.join(F.broadcast(relax), "query_id").where(F.col("_strict") | F.col("relaxed"))

@@ -324,6 +324,9 @@ SELECT n_nationkey, token, coalesce(array_to_string(coalesce(codes, CASE WHEN le
     "bm25_scores": _with(COMPANIES, SPEC_ROWS, CHECKS, f"kept AS (SELECT query_id, org_id FROM checks WHERE NOT ({_failed}))", _bm25("kept")) + " SELECT query_id, org_id, round(bm25, 6) AS bm25 FROM bm",
     "prefix_affinity": _with(COMPANIES, SPEC_ROWS, _codes("[primary_code]")) + " SELECT query_id, org_id, round(least(1.0::DOUBLE, 0.35::DOUBLE + 0.165::DOUBLE * (matched - 2)), 6) AS code_score, CAST(matched AS INT) AS matched FROM affinity",
     "dense_topk": _with(SPEC_ROWS, RUNS) + " SELECT query_id, org_id, round(s, 6) AS similarity, CAST(rank0 AS INT) AS rank0 FROM near",
+    "dense_search": f"""
+WITH s AS (SELECT CAST(q.vec_id AS VARCHAR) AS query_id, e.vec_id AS org_id, round({_cosine("e.embedding", "q.embedding")}, 12) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)
+SELECT query_id, org_id, round(s, 6) AS similarity, CAST(rank0 AS INT) AS rank0 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, org_id) - 1 AS rank0 FROM s) WHERE rank0 < 10""",
     "normalise_vectors": "SELECT vec_id, round(sqrt(list_sum([(x / l) * (x / l) for x in e])), 6) AS length, round(e[1] / l, 6) AS first FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, greatest(sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) for x in embedding])), 1e-12) AS l FROM embeddings)",
     "rrf_fusion": _with(*_to_short) + " SELECT query_id, org_id, round(fused, 9) AS fused FROM fused",
     "hybrid_shortlist": _with(*_to_short) + " SELECT query_id, org_id, round(fused, 9) AS fused, CAST(rank0 AS INT) AS rank0 FROM short",

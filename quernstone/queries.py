@@ -128,6 +128,13 @@ def dense_topk(spark, sf_dir):
     return retrieval.nearest(vectors, fx.query_vectors(spark, sf_dir), 25).select("query_id", "org_id", F.round("similarity", 6).alias("similarity"), F.col("rank0").cast("int").alias("rank0"))
 
 
+def dense_search(spark, sf_dir):
+    """Every vector whose id is divisible by 50 as a query, in blocks, against all vectors."""
+    vectors = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("org_id"), "embedding")
+    asked = vectors.where("org_id % 50 = 0").select(F.col("org_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    return retrieval.nearest(vectors, asked, 10, 16).select("query_id", "org_id", F.round("similarity", 6).alias("similarity"), F.col("rank0").cast("int").alias("rank0"))
+
+
 def normalise_vectors(spark, sf_dir):
     length = F.sqrt(vector.dot(F.col("v"), F.col("v")))
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", vector.l2_normalise(F.col("embedding")).alias("v")).select("vec_id", F.round(length, 6).alias("length"), F.round(F.element_at("v", 1), 6).alias("first"))
@@ -244,7 +251,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         coerce_companies, dedupe_pairs, dedupe_companies, dense_company_ids, dataset_summary, country_histogram, company_documents, company_cards,
         geo_expand, geo_text_scan, heuristic_plan, filter_tri, filter_tally, filter_relaxed, filter_survivors, tokenize_postings, bm25_scores,
-        prefix_affinity, dense_topk, normalise_vectors, rrf_fusion, hybrid_shortlist, adjudicate_batches, escalation_pick, banded_rank, rank_all,
+        prefix_affinity, dense_topk, dense_search, normalise_vectors, rrf_fusion, hybrid_shortlist, adjudicate_batches, escalation_pick, banded_rank, rank_all,
         metrics_at_k, pool_union, kappa, binary_scores, rater_agreement, jaccard, verdict_flips, stratified_sample, usage_costs, cache_probe, embed_batches,
     )
 }

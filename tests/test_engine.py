@@ -263,3 +263,9 @@ def test_requests_over_a_file(parsed):
     assert corpus.baseline_embedding(own, queries, 2).count() == 4
     judge = lambda pdf: pd.DataFrame({"local_id": pdf["local_id"], "verdict": "QUALIFIED", "confidence": 0.5, "reason": ""})
     assert corpus.baseline_exhaustive(own, queries.where("query_id = 'a'"), judge, 3).count() == 3
+
+
+def test_runs_are_of_bounded_size(spark, few, monkeypatch):
+    monkeypatch.setattr(filters, "MOST_SPECS", 1)
+    with pytest.raises(ValueError, match="several"):
+        filters.survivors(few, spec(spark).unionByName(spec(spark, query_id="r")))

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -40,3 +42,10 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(repr(tuple(plain(r[names.index(c)]) for c in columns)) for r in out.fetchall())
     assert got == want
+
+
+def test_engine_queries_survive_a_missing_dependency():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES) and sorted(e.oracle_sql()) == sorted(e.ORACLES))"
+    root = os.path.dirname(os.path.abspath(entry_module.__file__))
+    out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "True", out.stderr
