@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.common import running_sum, written
+from quernstone.llm.common import join_counted, running_sum, written
 
 #: Turns of one rendered part: no value holds an unbounded conversation.
 PART_TURNS = 256
@@ -55,6 +55,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     rows = written(turns(conversations), "turns")
     kept = _maximal(rows)
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    parts = rows.join(kept, "conv_id").withColumn("part", F.floor(F.col("_place") / PART_TURNS)).withColumn("_line", F.struct("_place", line.alias("line")))
+    kept = written(kept, "kept")
+    # A conversation has as many rows as turns; one of very many is not dealt by its id.
+    parts = join_counted(rows, kept, "conv_id", "n_turns", rows.count(), "inner").withColumn("part", F.floor(F.col("_place") / PART_TURNS)).withColumn("_line", F.struct("_place", line.alias("line")))
     grouped = parts.groupBy("conv_id", "part").agg(F.first("n_turns").alias("n_turns"), F.first("snapshots").alias("snapshots"), F.array_sort(F.collect_list("_line")).alias("_lines"))
     return grouped.select("conv_id", "part", "n_turns", "snapshots", F.array_join(F.transform("_lines", lambda x: x["line"]), "").alias("rendered"))
