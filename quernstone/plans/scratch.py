@@ -49,9 +49,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def forget(*tables: DataFrame | None) -> None:
     """Deletes tables that ``written`` gave, of which nothing is read any more: what was made of them is written itself."""
+    spark = None
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path is not None:
-            sc = df.sparkSession.sparkContext
+            spark = df.sparkSession
+            sc = spark.sparkContext
             jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
             jpath.getFileSystem(sc._jsc.hadoopConfiguration()).delete(jpath, True)
+    if spark is not None:
+        tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: only then does Spark remove the shuffle files and broadcasts of plans that are done, and
+    a driver of many compact plans would else wait long for that."""
+    spark.sparkContext._jvm.System.gc()
