@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quernstone.functions.windows import running_sum
-from quernstone.plans.scratch import forget, scratch_dir, written
+from quernstone.plans.scratch import forget, scratch_dir, tidy, written
 
 #: A key is hot when it has more than 1/HOT_SHARE of all rows; so there are at most HOT_SHARE hot keys, whatever the input.
 HOT_SHARE = 1000
@@ -15,7 +15,7 @@ HOT_SHARE = 1000
 #: Up to this number of row numbers (8 bytes each) a list of them is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
-__all__ = ["HOT_SHARE", "forget", "free_name", "integer_ids", "join_counted", "join_rows", "numbered", "running_sum", "scratch_dir", "table", "word_count", "written"]
+__all__ = ["HOT_SHARE", "forget", "free_name", "integer_ids", "join_counted", "join_rows", "numbered", "running_sum", "scratch_dir", "table", "tidy", "word_count", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

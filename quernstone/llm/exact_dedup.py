@@ -10,7 +10,6 @@ anew by the texts themselves.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +101,8 @@ def flush_runs(digests: DataFrame, shard_bits: int, memtable_rows: int = MEMTABL
 
 def compact_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     """Merges the segments of one shard; entries in cells that one run alone occupies have no copy elsewhere."""
+    import pandas as pd  # by this function alone: workers of the others need not load it
+
     d = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 4) for x in pdf["digests"]])
     i = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]])
     c = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["copies"]])

@@ -17,7 +17,6 @@ import pickle
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -246,11 +245,11 @@ def _links(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, width:
     return found if found is not None else none
 
 
-def _candidates(pdf: pd.DataFrame, needed: list[tuple[int, int]]):
+def _candidates(rows: pa.Table, needed: list[tuple[int, int]]):
     """Row i and later rows j of its bucket, in another component (and another block), that the signatures do not rule out and
-    that share no earlier bucket with it. pdf is sorted by key and id."""
-    key, component, block = (pdf[c].to_numpy() for c in ("key", "component", "block"))
-    keys, sketch = pdf["keys"].tolist(), np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, HASHES)
+    that share no earlier bucket with it. rows are sorted by key and id."""
+    key, component, block = (rows[c].to_numpy() for c in ("key", "component", "block"))
+    keys, sketch = rows["keys"].to_pylist(), np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, HASHES)
     # A group is a pack of small buckets, or two blocks of one bucket; the same block alone when it meets itself.
     ends, two = np.searchsorted(key, key, "right"), key[0] == key[-1] and block.min() != block.max()
     for i in range(len(key)):
@@ -289,15 +288,17 @@ def _residual(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
     dealt = written(dealt, "dealt")
     needed = least_matches(percent)
 
-    def alive(pdf):
-        pdf = pdf.sort_values(["key", "id"], ignore_index=True)
-        kept = sorted({k for i, js in _candidates(pdf, needed) for k in (i, *js)})
-        return pdf.loc[kept, ["g", "x", "y", "key", "id"]]
+    by_key = [("key", "ascending"), ("id", "ascending")]
 
-    def links(pdf):
-        pdf = pdf.sort_values(["key", "id"], ignore_index=True)
-        ids, component = pdf["id"].to_numpy(), np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
-        shingles = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
+    def alive(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(by_key)
+        kept = sorted({k for i, js in _candidates(rows, needed) for k in (i, *js)})
+        return rows.select(["g", "x", "y", "key", "id"]).take(pa.array(kept, pa.int64()))
+
+    def links(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(by_key)
+        ids, component = rows["id"].to_numpy(), np.unique(rows["component"].to_numpy(), return_inverse=True)[1]
+        shingles = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
         root = list(range(int(component.max()) + 1))
 
         def find(c: int) -> int:
@@ -307,7 +308,7 @@ def _residual(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
             return c
 
         out = []
-        for i, js in _candidates(pdf, needed):
+        for i, js in _candidates(rows, needed):
             for j in js:
                 one, other = find(component[i]), find(component[j])
                 a, b = shingles[i], shingles[j]
@@ -317,12 +318,12 @@ def _residual(rows: DataFrame, sketches: DataFrame, sets: DataFrame, percent: in
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
                     root[one] = other
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    kept = written(dealt.groupBy(*group).applyInPandas(alive, "g long, x int, y int, key long, id long"), "alive")
+    kept = written(dealt.groupBy(*group).applyInArrow(alive, "g long, x int, y int, key long, id long"), "alive")
     # x and y of a group are never null; its key may be.
     again = dealt.join(kept.withColumnRenamed("g", "_g"), (F.col("g").eqNullSafe(F.col("_g"))) & (dealt.x == kept.x) & (dealt.y == kept.y) & (dealt.key == kept.key) & (dealt.id == kept.id), "left_semi")
-    return again.join(sets, "id").groupBy(*group).applyInPandas(links, "a long, b long").distinct()
+    return again.join(sets, "id").groupBy(*group).applyInArrow(links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

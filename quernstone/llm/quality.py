@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quernstone.llm.common import tidy
 from quernstone.llm.labelled import SAMPLE_ROWS, STATS, remainder, structure, training_rows
-from quernstone.llm.words import NONSPACE, slices, words
+from quernstone.llm.words import NONSPACE, release, slices, words
 
 RANK, BUCKETS, EPOCHS, BATCH, RATE, DECAY = 8, 1 << 14, 12, 256, 0.05, 1e-4
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.5
@@ -111,7 +112,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows_of = sample.mapInArrow(extract, "id string, y int, index binary, value binary").toLocalIterator()
     got = sorted(((r[0], r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3])) for r in rows_of), key=lambda r: r[:2])
-    return fit([(i, v) for _, _, i, v in got], np.array([float(y) for _, y, _, _ in got]))
+    model = fit([(i, v) for _, _, i, v in got], np.array([float(y) for _, y, _, _ in got]))
+    got.clear()
+    release()
+    tidy(docs.sparkSession)
+    return model
 
 
 def score(docs: DataFrame, model, id_col: str, text_col: str, modulus: int, held_out: int, threshold: float) -> DataFrame:
