@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,11 +38,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return _folders[sc.applicationId]
 
 
+#: Rows of an Arrow batch while a scratch table is written. Whole texts travel in such batches, which both sides hold outside of
+#: the heap; the default of 10,000 rows suits rows of numbers.
+ARROW_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """The session's Arrow batches have ARROW_ROWS rows at most inside, and their own size afterwards."""
+    own = spark.conf.get(_ROWS)
+    if 0 < int(own) <= ARROW_ROWS:
+        yield
+        return
+    spark.conf.set(_ROWS, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, own)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lost executor costs no recomputation beyond it."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
