@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.windows import top
+from quernstone.plans.scratch import written
 
 RELEVANT = 2
 
@@ -80,8 +81,10 @@ def run_pairs(lists: DataFrame, depth: int = 10) -> DataFrame:
     """lists(query_id, run, org_id, pos from 1): for each pair of runs, jaccard of all and overlap of the first `depth`.
 
     Two empty lists have a jaccard of 1; overlap divides by the shorter head, at least 1. A run's list is a returned list.
+    The sets are written: of a union of lists, Spark would plan the two sides of their join with unequal partitions, and fail.
     """
     sets = lists.groupBy("query_id", "run").agg(F.collect_set("org_id").alias("all"), F.collect_set(F.when(F.col("pos") <= depth, F.col("org_id"))).alias("head"))
+    sets = written(sets, "sets")
     a, b = sets.alias("a"), sets.alias("b")
     met = a.join(b, (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.run") < F.col("b.run")))
     both, either = F.size(F.array_intersect("a.all", "b.all")), F.size(F.array_union("a.all", "b.all"))

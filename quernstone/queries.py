@@ -15,6 +15,7 @@ from quernstone.plans import fixture as fx
 from quernstone.plans.benchmark import QUERIES as BENCHMARK
 from quernstone.plans.engine import Engine
 from quernstone.plans.planner import heuristic_specs
+from quernstone.plans.scratch import written
 
 R = 9
 
@@ -175,8 +176,8 @@ def rank_all(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    """Two systems over vec_id as org_id: dense neighbours, and the same in order of id."""
-    near = retrieval.nearest(fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("org_id"), "embedding"), fx.query_vectors(spark, sf_dir), 25)
+    """Two systems over vec_id as org_id: dense neighbours, and the same in order of id; the search is done once."""
+    near = written(retrieval.nearest(fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("org_id"), "embedding"), fx.query_vectors(spark, sf_dir), 25), "near")
     dense = near.select("query_id", F.lit("dense").alias("system"), "org_id", (F.col("rank0") + 1).alias("pos"))
     plain = top(near.where("rank0 % 2 = 0"), "query_id", [F.col("org_id")], 25, "at").select("query_id", F.lit("plain").alias("system"), "org_id", (F.col("at") + 1).alias("pos"))
     return dense.unionByName(plain)
