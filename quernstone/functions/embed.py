@@ -11,12 +11,13 @@ DIMENSION = 64
 
 
 def hashed(text: Column, dimension: int = DIMENSION) -> Column:
-    """Counts of tokens by hash cell, with a sign by another hash bit; a text's tokens are hashed once."""
+    """Counts of tokens by hash cell, with a sign by another hash bit; a text's tokens are hashed once. A null text has no vector."""
     cells = F.transform(tokenize(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % F.lit(2 * dimension)).cast("int"))
 
-    def counted(own: Column) -> Column:
-        sign = lambda x, k: F.when(x == k, 1).when(x == k + dimension, -1).otherwise(0)
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.aggregate(own, F.lit(0), lambda s, x: s + sign(x, k)).cast("double"))
-
-    # As the variable of a lambda the cells are worked out once, not once for each of the vector's places.
-    return F.element_at(F.transform(F.array(cells), counted), 1)
+    # Sorted among one mark for each cell, a cell's tokens lie between two marks: no pass over the tokens by a lambda for each place.
+    marks = F.sequence(F.lit(0), F.lit(2 * dimension))
+    once = lambda c, use: F.element_at(F.transform(F.array(c), use), 1)  # noqa: E731  a lambda's variable is worked out once
+    held = lambda at, k: F.element_at(at, k + 2) - F.element_at(at, k + 1)
+    placed = lambda own: F.transform(marks, lambda k: F.array_position(own, k).cast("int"))
+    signed = lambda at: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: (held(at, k) - held(at, k + dimension)).cast("double"))
+    return F.when(text.isNotNull(), once(F.sort_array(F.concat(cells, marks)), lambda own: once(placed(own), signed)))

@@ -13,7 +13,7 @@ from quernstone.functions.vector import l2_normalise
 from quernstone.operators import cleaning
 from quernstone.plans.engine import Engine
 from quernstone.plans.planner import heuristic_specs
-from quernstone.plans.scratch import written
+from quernstone.plans.scratch import forget, portions, written
 from quernstone.sources import profiles
 
 
@@ -38,13 +38,19 @@ def engine(companies: DataFrame, embedder: Callable = embedders.hashed, config=N
 
 #: Texts that are embedded and appended together: what an interrupted run has bought stays.
 WAVE_ROWS = 100_000
+#: Texts that one task embeds at most where no service is asked.
+TASK_ROWS = 5_000
+#: A task's file is moved to its place when the task ends, not when the whole job does.
+KEPT_BY_TASK = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def embed_corpus(documents: DataFrame, store: str, embedder: Callable, model: str, dimension: int = embedders.DIMENSION, chars: int = 8000, rebuild: bool = False, wave_rows: int = WAVE_ROWS, service: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, int]:
     """Embeds the texts of documents(org_id, document) that the store lacks; hits and misses. rebuild takes all for misses.
 
-    service(rows of fingerprint, text), which adds embedding (``connector.embed``), takes the place of the embedder. Texts are known by fingerprint (of text, model and dimension), so equal texts are embedded once. Misses go in waves by
-    fingerprint, each appended when it is done.
+    service(rows of fingerprint, text), which adds embedding (``connector.embed``), takes the place of the embedder. Texts are known by
+    fingerprint (of text, model and dimension), so equal texts are embedded once. Misses go in waves by fingerprint, each appended
+    when it is done. Waves of the embedder are tasks of one job; a service is handed one wave after the other, each read from its
+    own files, so no wave reads the misses of another.
     """
     spark = documents.sparkSession
     marked = documents.select(profiles.embedding_fingerprint(F.col("document"), model, dimension).alias("fingerprint"), F.substring("document", 1, chars).alias("text"))
@@ -53,15 +59,20 @@ def embed_corpus(documents: DataFrame, store: str, embedder: Callable, model: st
     missing = texts if rebuild else texts.join(known.select("fingerprint"), "fingerprint", "left_anti")
     missing = written(missing, "missing")
     n, total = missing.count(), texts.count()
-    waves = max(1, -(-n // wave_rows))
-    for k in range(waves if n else 0):
-        part = missing.where(F.pmod(F.xxhash64("fingerprint"), F.lit(waves)) == k)
-        got = part.withColumn("embedding", embedder(F.col("text"))) if service is None else service(part.select("fingerprint", "text"))
-        vectors = got.select("fingerprint", l2_normalise(F.col("embedding")).alias("embedding"), F.current_timestamp().alias("created"))
-        vectors.write.mode("append").parquet(store)
+    if n and service is None:
+        append(missing.repartition(-(-n // min(wave_rows, TASK_ROWS)), "fingerprint").withColumn("embedding", embedder(F.col("text"))), store)
+    elif n:
+        for wave in portions(missing.select("fingerprint", "text").repartition(-(-n // wave_rows), "fingerprint"), "waves"):
+            append(service(wave), store)
+            forget(wave)
     return {"hits": total - n, "misses": n}
 
 
+def append(embedded: DataFrame, store: str) -> None:
+    vectors = embedded.select("fingerprint", l2_normalise(F.col("embedding")).alias("embedding"), F.current_timestamp().alias("created"))
+    vectors.write.mode("append").options(**KEPT_BY_TASK).parquet(store)
+
+
 def with_embeddings(companies: DataFrame, store: str, model: str, dimension: int = embedders.DIMENSION) -> DataFrame:
     """companies(document) with embedding from the store, its latest; the zero vector where it has none."""
     known = profiles.stored_embeddings(companies.sparkSession, store)

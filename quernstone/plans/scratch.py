@@ -41,6 +41,8 @@ def scratch_dir(spark: SparkSession) -> str:
 #: Rows of an Arrow batch while a scratch table is written. Whole texts travel in such batches, which both sides hold outside of
 #: the heap; the default of 10,000 rows suits rows of numbers.
 ARROW_ROWS = 1000
+#: Rows of one file of ``portions`` at most.
+PORTION_ROWS = 100_000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -69,12 +71,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def portions(df: DataFrame, name: str, size: int = 0) -> list[DataFrame]:
+    """df, written, as tables of about size bytes of files each (of one file, if that is more), which together hold its rows.
+
+    For steps that may only run in a few tasks at once: they take one table after the other, and each reads its own files only.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    with small_batches(spark):
+        df.write.option("maxRecordsPerFile", PORTION_ROWS).parquet(path)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = sorted((f.getPath().toString(), f.getLen()) for f in jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(jpath) if f.getPath().getName().startswith("part-"))
+    out, held, total = [], [], 0
+    for k, (file, n) in enumerate(files):
+        held.append(file)
+        total += n
+        if total >= size or k + 1 == len(files):
+            part = spark.read.schema(df.schema).parquet(*held)
+            part._scratch_path = held
+            out.append(part)
+            held, total = [], 0
+    return out
+
+
 def forget(*tables: DataFrame | None) -> None:
-    """Deletes tables that ``written`` gave, of which nothing is read any more: what was made of them is written itself."""
+    """Deletes tables that ``written`` or ``portions`` gave, of which nothing is read any more: what was made of them is written itself."""
     spark = None
     for df in tables:
         path = getattr(df, "_scratch_path", None)
-        if path is not None:
+        for path in [] if path is None else [path] if isinstance(path, str) else path:
             spark = df.sparkSession
             sc = spark.sparkContext
             jpath = sc._jvm.org.apache.hadoop.fs.Path(path)
