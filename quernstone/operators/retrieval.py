@@ -18,8 +18,10 @@ from quernstone.plans.scratch import written
 
 #: Up to this many query terms are named to the scan of the index; more are only joined.
 PUSHED_TERMS = 2000
-#: Query vectors of one block, which is broadcast.
+#: Query vectors of one block; the only block of a search is broadcast.
 QUERY_BLOCK = 1024
+#: Groups of rows in a search of several blocks at least, and rows of a group on larger tables.
+GROUPS, GROUP_ROWS = 32, 65_536
 
 
 def words(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
@@ -134,44 +136,67 @@ def shortlist(fused: DataFrame, config: Config = Config()) -> DataFrame:
 def nearest(embeddings: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, org_id, similarity (to 12 places), rank0 of the k nearest of each stated query, over the whole table.
 
-    Queries go to the table in blocks of bounded size; a task multiplies a block with the rows of an Arrow batch and keeps the k
-    best of each query, so k rows a query and batch are all that is shuffled. Rows without a vector are not found.
+    Queries are multiplied with rows in blocks of `block`, and the k best of each query are kept, so k rows a query and batch (or
+    group of rows) are all that is shuffled. One block of queries is broadcast. More never come to the driver: rows are dealt to
+    groups, each of which gets all queries. Rows and queries without a vector are not found.
     """
     spark, kind = embeddings.sparkSession, vectors.schema["query_id"].dataType
+    rows, asked = embeddings.select("org_id", "embedding"), vectors.select("query_id", "vector").where("vector IS NOT NULL")
     schema = T.StructType([T.StructField("query_id", kind), embeddings.schema["org_id"], T.StructField("similarity", T.DoubleType())])
-    found, held = None, []
 
-    def scan(rows: list) -> DataFrame:
-        ids = [r[0] for r in rows]
-        shared = spark.sparkContext.broadcast((ids, unit(np.array([r[1] for r in rows], float))))
+    def best_of(names: pa.Array, queries: np.ndarray, ids: pa.Array, flat: np.ndarray) -> pa.RecordBatch:
+        """The k best rows of each query; of equal ones those of the least id."""
+        order = np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable")
+        score = np.round(queries @ flat[order].T, 12)
+        if k < len(order):
+            # All rows that reach a query's k-th score, in order of id; the sort by query and score is stable.
+            q, at = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            q, at = (x.ravel() for x in np.indices(score.shape))
+        turn = np.lexsort((-score[q, at], q))
+        q, at = q[turn], at[turn]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, at = q[first], at[first]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(order[at])), pa.array(score[q, at])], schema.names)
+
+    def scan(held: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([r[0] for r in held], unit(np.array([r[1] for r in held], float))))
 
         def run(batches):
             names, queries = shared.value
             for batch in batches:
                 batch = batch.filter(pc.is_valid(batch.column(1)))
-                if not batch.num_rows:
-                    continue
-                flat = pc.cast(batch.column(1), pa.list_(pa.float64())).flatten().to_numpy(zero_copy_only=False)
-                score = np.round(queries @ unit(flat.reshape(batch.num_rows, -1)).T, 12)
-                org = batch.column(0).to_numpy(zero_copy_only=False)
-                order = np.argsort(org, kind="stable")
-                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                q = np.repeat(np.arange(len(names)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], to_arrow_type(kind)), batch.column(0).take(pa.array(best.ravel())), pa.array(score[q, best.ravel()])], schema.names)
-
-        return embeddings.select("org_id", "embedding").mapInArrow(run, schema)
-
-    for r in vectors.select("query_id", "vector").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            found, held = scan(held) if found is None else found.unionByName(scan(held)), []
-    if held or found is None:
-        found = scan(held) if found is None else found.unionByName(scan(held))
+                if batch.num_rows and len(names):
+                    yield best_of(pa.array(names, to_arrow_type(kind)), queries, batch.column(0), dense_rows(batch.column(1)))
+
+        return rows.mapInArrow(run, schema)
+
+    def grid() -> DataFrame:
+        groups = max(GROUPS, rows.count() // GROUP_ROWS)
+
+        def run(own, queries):
+            ids, names = own.column(0).combine_chunks(), queries.column(0).combine_chunks()
+            flat, wanted = dense_rows(own.column(1).combine_chunks()), dense_rows(queries.column(1).combine_chunks())
+            found = [best_of(names[a : a + block], wanted[a : a + block], ids, flat) for a in range(0, len(names), block)] if len(ids) else []
+            return pa.Table.from_batches(found) if found else pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in schema})
+
+        dealt = rows.where("embedding IS NOT NULL").withColumn("_g", F.pmod(F.xxhash64("org_id"), F.lit(groups)).cast("int"))
+        met = asked.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return dealt.groupBy("_g").cogroup(met.groupBy("_g")).applyInArrow(run, schema)
+
+    held = asked.limit(block + 1).collect()
+    found = scan(held) if len(held) <= block else grid()
     return top(found, "query_id", [F.desc("similarity"), F.col("org_id")], k)
 
 
+def dense_rows(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows of length 1."""
+    flat = pc.cast(column, pa.list_(pa.float64())).flatten().to_numpy(zero_copy_only=False)
+    return unit(flat.reshape(len(column), -1 if len(column) else 0))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
-    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=-1, keepdims=True)), 1e-12) if rows.size else rows.reshape(len(rows), -1)
+    return rows / np.maximum(np.sqrt((rows * rows).sum(axis=-1, keepdims=True)), 1e-12) if rows.size else rows
 
 
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:
