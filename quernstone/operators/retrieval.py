@@ -16,6 +16,8 @@ from quernstone.functions.vector import cosine
 from quernstone.functions.windows import rank_desc, top
 from quernstone.plans.scratch import written
 
+#: Tokens of one part of the written index; it has fewer postings than those.
+PART_TOKENS = 2_000_000
 #: Up to this many query terms are named to the scan of the index; more are only joined.
 PUSHED_TERMS = 2000
 #: Query vectors of one block; the only block of a search is broadcast.
@@ -25,27 +27,48 @@ GROUPS, GROUP_ROWS = 32, 65_536
 
 
 def words(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
-    """org_id, _words: the tokens of a document; postings and lengths follow from it, so write it where both are wanted."""
+    """org_id, _words: the tokens of a document."""
     return documents.select(F.col(id_col).alias("org_id"), tokenize(F.col(text_col)).alias("_words"))
 
 
+def counted(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
+    """org_id, length, _runs: a document's distinct terms with their tf. A table of this, written, gives postings and lengths.
+
+    Tokens are counted within a row, as runs of its sorted tokens, so nothing is held for a task's documents together.
+    """
+    once = lambda c, use: F.element_at(F.transform(F.array(c), use), 1)  # noqa: E731  a lambda's variable is worked out once
+    starts = lambda own: F.filter(F.sequence(F.lit(0), F.size(own)), lambda i: (i < F.size(own)) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
+    run = lambda own, at, j, i: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(own)) - i).cast("long").alias("tf"))
+    runs = once(F.sort_array("_words"), lambda own: once(starts(own), lambda at: F.transform(at, lambda i, j: run(own, at, j, i))))
+    return words(documents, id_col, text_col).select("org_id", F.size("_words").alias("length"), runs.alias("_runs"))
+
+
 def postings(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
-    """id, term, tf, length: one row per distinct term of a document. documents may be ``words`` already."""
-    sized = (documents if "_words" in documents.columns else words(documents, id_col, text_col)).withColumn("length", F.size("_words"))
-    # explode of a map would count in the same row; counting by a shuffle is combined before it.
-    terms = sized.select("org_id", "length", F.explode("_words").alias("term"))
-    return terms.groupBy("org_id", "length", "term").agg(F.count(F.lit(1)).alias("tf")).select("org_id", "term", "tf", "length")
+    """id, term, tf, length: one row per distinct term of a document. documents may be ``counted`` already.
+
+    Only where an id stands twice, rows of one id and length are added up.
+    """
+    sized = documents if "_runs" in documents.columns else counted(documents, id_col, text_col)
+    terms = sized.select("org_id", "length", F.explode("_runs").alias("r")).select("org_id", "r.term", "r.tf", "length")
+    if sized.groupBy("org_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        terms = terms.groupBy("org_id", "length", "term").agg(F.sum("tf").alias("tf")).select("org_id", "term", "tf", "length")
+    return terms
 
 
 def lengths(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
-    """Documents without a token are kept at 0. documents may be ``words`` already."""
-    tokens = documents if "_words" in documents.columns else words(documents, id_col, text_col)
-    return tokens.select("org_id", F.size("_words").alias("length"))
+    """Documents without a token are kept at 0. documents may be ``counted`` already."""
+    if "_runs" in documents.columns:
+        return documents.select("org_id", "length")
+    return words(documents, id_col, text_col).select("org_id", F.size("_words").alias("length"))
 
 
-def by_term(index: DataFrame) -> DataFrame:
-    """postings in order of their terms, for writing: a run that names its terms reads the parts that hold them only."""
-    return index.repartitionByRange("term").sortWithinPartitions("term")
+def by_term(index: DataFrame, tokens: int) -> DataFrame:
+    """postings in order of their terms, for writing: a run that names its terms reads the parts that hold them only.
+
+    tokens is the number of all tokens, or more than there are postings. Parts are of bounded size, whatever the input: there are as
+    many as it takes, and a frequent term is cut by ids.
+    """
+    return index.repartitionByRange(-(-tokens // PART_TOKENS) or 1, "term", "org_id").sortWithinPartitions("term")
 
 
 def query_terms(specs: DataFrame) -> DataFrame:

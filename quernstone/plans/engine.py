@@ -27,10 +27,15 @@ class Engine:
         documents = companies.withColumn("document", text.company_document()) if "document" not in companies.columns else companies
         self.companies = documents
         if index is None or sizes is None:
-            words = written(retrieval.words(documents), "words")
-        self.index = index if index is not None else written(retrieval.by_term(retrieval.postings(words)), "postings")
+            words = written(retrieval.counted(documents), "words")
+        self.index = index if index is not None else self.ordered(words)
         self.sizes = sizes if sizes is not None else retrieval.lengths(words)
 
+    @staticmethod
+    def ordered(words: DataFrame) -> DataFrame:
+        tokens = retrieval.lengths(words).agg(F.sum("length")).first()[0] or 0
+        return written(retrieval.by_term(retrieval.postings(words), tokens), "postings")
+
     def survivors(self, specs: DataFrame) -> DataFrame:
         thin = self.companies.select("org_id", *FILTERED)
         return filters.survivors_relaxed(thin, specs, self.config).select("query_id", "org_id", "unknown", "complexity", (F.size("prefixes") > 0).alias("has_prefixes"))
