@@ -17,5 +17,14 @@ def l2_normalise(v: Column) -> Column:
     return once(v, lambda u: once(F.sqrt(dot(u, u)), lambda n: scaled(u, n)))
 
 
+def length(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine_of(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    """cosine, of vectors whose lengths are known."""
+    return dot(a, b) / F.greatest(length_a * length_b, F.lit(1e-12))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))
+    return cosine_of(a, b, length(a), length(b))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -12,13 +14,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quernstone.config import Config
 from quernstone.functions.text import tokenize
-from quernstone.functions.vector import cosine
+from quernstone.functions.vector import cosine_of, length
 from quernstone.functions.windows import rank_desc, top
 from quernstone.plans.scratch import written
 
 #: Tokens of one part of the written index; it has fewer postings than those.
 PART_TOKENS = 2_000_000
-#: Up to this many query terms are named to the scan of the index; more are only joined.
+#: Up to this many query terms are named to the scan of the index, or counted without one; more are only joined.
 PUSHED_TERMS = 2000
 #: Query vectors of one block; the only block of a search is broadcast.
 QUERY_BLOCK = 1024
@@ -31,15 +33,17 @@ def words(documents: DataFrame, id_col: str = "org_id", text_col: str = "documen
     return documents.select(F.col(id_col).alias("org_id"), tokenize(F.col(text_col)).alias("_words"))
 
 
-def counted(documents: DataFrame, id_col: str = "org_id", text_col: str = "document") -> DataFrame:
+def counted(documents: DataFrame, id_col: str = "org_id", text_col: str = "document", named: Collection[str] | None = None) -> DataFrame:
     """org_id, length, _runs: a document's distinct terms with their tf. A table of this, written, gives postings and lengths.
 
-    Tokens are counted within a row, as runs of its sorted tokens, so nothing is held for a task's documents together.
+    Tokens are counted within a row, as runs of its sorted tokens, so nothing is held for a task's documents together. Given named
+    terms, only those are sorted and counted, in every document; length is the number of all its tokens.
     """
     once = lambda c, use: F.element_at(F.transform(F.array(c), use), 1)  # noqa: E731  a lambda's variable is worked out once
     starts = lambda own: F.filter(F.sequence(F.lit(0), F.size(own)), lambda i: (i < F.size(own)) & ((i == 0) | (F.get(own, i) != F.get(own, i - 1))))
     run = lambda own, at, j, i: F.struct(F.get(own, i).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(own)) - i).cast("long").alias("tf"))
-    runs = once(F.sort_array("_words"), lambda own: once(starts(own), lambda at: F.transform(at, lambda i, j: run(own, at, j, i))))
+    wanted = F.col("_words") if named is None else F.filter("_words", lambda t: t.isin(list(named)))
+    runs = once(F.sort_array(wanted), lambda own: once(starts(own), lambda at: F.transform(at, lambda i, j: run(own, at, j, i))))
     return words(documents, id_col, text_col).select("org_id", F.size("_words").alias("length"), runs.alias("_runs"))
 
 
@@ -78,6 +82,12 @@ def query_terms(specs: DataFrame) -> DataFrame:
     return terms.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
+def named_terms(terms: DataFrame) -> frozenset[str] | None:
+    """The distinct terms of a run's stated queries; None if they are more than PUSHED_TERMS."""
+    named = frozenset(r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect())
+    return named if len(named) <= PUSHED_TERMS else None
+
+
 def bm25(kept: DataFrame, index: DataFrame, sizes: DataFrame, terms: DataFrame, config: Config = Config()) -> DataFrame:
     """query_id, org_id, bm25 of kept(query_id, org_id) that hold a query term; statistics are those of a query's survivors.
 
@@ -85,9 +95,9 @@ def bm25(kept: DataFrame, index: DataFrame, sizes: DataFrame, terms: DataFrame,
     only postings of wanted terms are read and shuffled.
     """
     terms = written(terms, "terms")
-    named = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    if len(named) <= PUSHED_TERMS:
-        index = index.where(F.col("term").isin(named))
+    named = named_terms(terms)
+    if named is not None:
+        index = index.where(F.col("term").isin(list(named)))
     stats = kept.join(sizes, "org_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length"))
     wanted = index.join(F.broadcast(terms), "term").join(kept, ["query_id", "org_id"], "left_semi")
     frequency = wanted.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -101,18 +111,25 @@ def bm25(kept: DataFrame, index: DataFrame, sizes: DataFrame, terms: DataFrame,
 def prefix_affinity(codes: DataFrame, specs: DataFrame) -> DataFrame:
     """query_id, org_id, code, matched: the best of min(1, 0.35 + 0.165 * (length - 2)) over code prefixes that a query names.
 
-    codes(org_id, code). startswith becomes an equi-join on the prefixes of a code.
+    codes(org_id, code). startswith becomes an equi-join on the prefixes of a code, of the lengths that queries name.
     """
     prefixes = specs.select("query_id", F.explode(F.array_distinct("prefixes")).alias("prefix"))
-    starts = codes.where("code <> ''").select("org_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("code")), lambda k: F.substring(codes["code"], F.lit(1), k))).alias("prefix"))
+    sizes = sorted(r.n for r in prefixes.select(F.length("prefix").alias("n")).where("n > 0").distinct().collect())
+    cut = F.array_compact(F.array(*[F.when(F.length("code") >= n, F.substring("code", 1, n)) for n in sizes]).cast("array<string>"))
+    starts = codes.where("code <> ''").select("org_id", F.explode(cut).alias("prefix"))
     met = starts.join(F.broadcast(prefixes), "prefix").groupBy("query_id", "org_id").agg(F.max(F.length("prefix")).alias("matched"))
     return met.select("query_id", "org_id", F.least(F.lit(1.0), F.lit(0.35) + 0.165 * (F.col("matched") - 2)).alias("code_score"), "matched")
 
 
 def dense(kept: DataFrame, embeddings: DataFrame, vectors: DataFrame) -> DataFrame:
-    """query_id, org_id, dense: cosine of a company's embedding with the query's vector (query_id, vector); stated queries are broadcast."""
-    met = kept.select("query_id", "org_id").join(embeddings, "org_id").join(F.broadcast(vectors), "query_id")
-    return met.select("query_id", "org_id", cosine(F.col("embedding"), F.col("vector")).alias("dense"))
+    """query_id, org_id, dense: cosine of a company's embedding with the query's vector (query_id, vector); stated queries are broadcast.
+
+    Lengths are worked out below the joins, once a company and once a query.
+    """
+    rows = embeddings.withColumn("_length", length(F.col("embedding")))
+    asked = vectors.withColumn("_asked", length(F.col("vector")))
+    met = kept.select("query_id", "org_id").join(rows, "org_id").join(F.broadcast(asked), "query_id")
+    return met.select("query_id", "org_id", cosine_of(F.col("embedding"), F.col("vector"), F.col("_length"), F.col("_asked")).alias("dense"))
 
 
 def signals(kept: DataFrame, dense_scores: DataFrame, bm25_scores: DataFrame, codes: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def hybrid_shortlist(spark, sf_dir):
 
 def _judged(spark, sf_dir):
     engine, specs = _engine(spark, sf_dir), fx.specs(spark)
-    listed = qualify.keyword_hits(engine.shortlist(specs, fx.query_vectors(spark, sf_dir)), engine.index, specs)
+    listed = qualify.keyword_hits(engine.shortlist(specs, fx.query_vectors(spark, sf_dir)), engine.lexicon(specs)[0], specs)
     return qualify.adjudicate_by_rules(listed)
 
 

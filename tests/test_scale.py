@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from quernstone import queries
 from quernstone.config import Config
-from quernstone.functions import embed
+from quernstone.functions import embed, vector
 from quernstone.operators import metrics, retrieval
-from quernstone.plans import corpus, evaluation, scratch
+from quernstone.plans import corpus, engine, evaluation, scratch
+from quernstone.plans import fixture as fx
 from quernstone.sources import connector
 
 DATA = "/root/testdata/sf0.001"
@@ -110,3 +111,43 @@ def test_terms_are_counted_within_a_row_and_frequent_ones_are_cut(spark, monkeyp
     same = spark.range(1000).select(F.col("id").alias("org_id"), F.lit("same").alias("term"), F.lit(1).alias("tf"), F.lit(1).alias("length"))
     sizes = [r["count"] for r in retrieval.by_term(same, 1000).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1000 and max(sizes) < 300
+
+
+def test_a_run_counts_its_own_terms_only(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(engine, "written", lambda df, name: kept.setdefault(name, []).append(out := scratch.written(df, name)) or out)
+    rows = fx.embedded(spark, DATA).withColumn("document", F.col("description"))
+    specs, vectors, one = fx.specs(spark), fx.query_vectors(spark, DATA), F.col("query_id") == "s01"
+    listed = lambda e, which: sorted(map(str, e.shortlist(which, vectors).collect()))
+    own = engine.Engine(rows)
+    assert listed(own, specs.where(one)) and "postings" not in kept
+    assert own.lexicon(specs.where(one)) and len(kept["words"]) == 1
+    named = {r.term for r in retrieval.query_terms(specs.where(one)).collect()}
+    assert {r.term for r in kept["words"][0].select(F.explode("_runs").alias("r")).select("r.term").collect()} <= named
+    assert kept["words"][0].select("org_id", "length").exceptAll(retrieval.lengths(rows)).count() == 0 == retrieval.lengths(rows).exceptAll(kept["words"][0].select("org_id", "length")).count()
+    # Other terms: now the whole index is built, and kept. An engine with an index from outside gives the same.
+    every = listed(own, specs)
+    outside = engine.Engine(rows, index=own.index, sizes=own.sizes)
+    assert every == listed(engine.Engine(rows), specs) and outside.lexicon(specs) == own.lexicon(specs) and len(kept["postings"]) == 1
+    # More terms than can be named.
+    monkeypatch.setattr(retrieval, "PUSHED_TERMS", 2)
+    assert listed(engine.Engine(rows), specs) == every and len(kept["postings"]) == 2
+
+
+def test_lengths_of_vectors_and_prefixes_are_worked_out_once_a_row(spark):
+    vectors = [(i, [float(i % 7) / 3, float(i % 5), 0.1]) for i in range(40)] + [(40, None), (41, [0.0, 0.0, 0.0])]
+    rows = spark.createDataFrame(vectors, "org_id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", [0.3, 1.0, 2.0]), ("b", [1.0, 0.0, 0.7])], "query_id string, vector array<float>")
+    kept = rows.select("org_id").crossJoin(asked.select("query_id"))
+    found = retrieval.dense(kept, rows, asked)
+    met = kept.join(rows, "org_id").join(asked, "query_id")
+    assert sorted(map(str, found.collect())) == sorted(map(str, met.select("query_id", "org_id", vector.cosine(F.col("embedding"), F.col("vector")).alias("dense")).collect()))
+    top = found._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[0]
+    assert top.count("aggregate(") == 1
+
+    specs = spark.createDataFrame([("a", ["31", "3112", "31"]), ("b", [""]), ("c", []), ("d", ["9"])], "query_id string, prefixes array<string>")
+    codes = spark.createDataFrame([(1, "311299"), (1, "9"), (2, "31"), (3, ""), (4, None), (5, "3")], "org_id long, code string")
+    got = retrieval.prefix_affinity(codes, specs)
+    assert sorted((r.query_id, r.org_id, r.matched) for r in got.collect()) == [("a", 1, 4), ("a", 2, 2), ("d", 1, 1)]
+    assert "sequence(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert retrieval.prefix_affinity(codes, specs.where("query_id = 'c'")).count() == 0
